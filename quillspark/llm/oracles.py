@@ -93,8 +93,31 @@ FROM w LEFT JOIN base USING (r) LEFT JOIN method USING (r)
 """
 
 
+_WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
+h AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS head FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM h
+"""
+
+
+_SUBSTRINGS = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS words FROM documents),
+s AS (SELECT r, doc_id, i, array_to_string(words[i : i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+f AS (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS head FROM s),
+gone AS (SELECT r, list(DISTINCT i + k) AS places FROM f, range(0, 13) AS t(k) WHERE head < doc_id GROUP BY r),
+k AS (SELECT doc_id, words, coalesce(gone.places, []) AS places FROM w LEFT JOIN gone USING (r))
+SELECT doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(words, lambda x, i: NOT list_contains(places, i)), ' '), '')) AS kept_sha256
+FROM k
+"""
+
+
 SQL = {
     "op2_license_scan": _license_sql(),
     "op3_quality_rules": _QUALITY,
+    "op7_warc": _WARC,
     "op8_url_filter": _url_sql(),
+    "op9_substring_dedup": _SUBSTRINGS,
 }

@@ -6,7 +6,10 @@
 2. Passages: blocks of `BLOCK` terms. How many blocks hold each term is counted over all documents (idf).
 3. Distributed randomised SVD of the TF-IDF matrix A (blocks x vocabulary): each task adds A'(A W) of its blocks for a
    random W, the sum is orthonormalised (Q), each task adds (A Q)'(A Q), whose eigenvectors rotate Q. Sums are made by
-   slice of the vocabulary before anything comes to the driver, which holds vocabulary x `RANK` numbers at most.
+   slice of the vocabulary before anything comes to the driver, which holds vocabulary x (`RANK` + `SKETCH`) numbers.
+   A corpus holds few benchmark passages, so its leading directions say little of them: the latent vector of a passage
+   has its coordinates in the `RANK` leading directions, and `SKETCH` random projections of what is left of it, which keep
+   cosines within about 1 / sqrt(`SKETCH`). Terms that stand in over `COMMON` of the blocks weigh nothing.
 4. Cosine candidates: every two neighbouring blocks are one search passage (so any `BLOCK` + 1 terms stand in one), which is
    projected and compared with all items of a benchmark block; all pairs of at least `COSINE` are candidates, uncapped.
    A short item beside a long passage is found by the same threshold because terms outside the vocabulary weigh nothing.
@@ -39,8 +42,9 @@ from quillspark.llm.written import Written, written
 
 ITEMS = 20_000
 BLOCK = 32
-RANK, OVERSAMPLE, SEED = 48, 16, 7
-COSINE = 0.3
+RANK, OVERSAMPLE, SKETCH, SEED = 32, 8, 96, 7
+COMMON = 0.1
+COSINE = 0.4
 LCS, LCS_ANSWER, ANSWER = 0.8, 0.6, 0.75
 LEAST = 8
 #: Terms of one slice of a document, a multiple of BLOCK.
@@ -156,10 +160,10 @@ def _project(blocks: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> tuple[
     return _sums(blocks, weights[ids])
 
 
-def latent_space(encoded: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
-    """idf-weighted directions (size x rank): a passage's latent vector is the sum of its terms' rows."""
+def latent_space(encoded: DataFrame, size: int, rank: int = RANK, sketch_width: int = SKETCH) -> np.ndarray:
+    """idf-weighted directions (size x (rank + sketch)): a passage's latent vector is the sum of its terms' rows."""
     df, n = _document_frequency(encoded, size)
-    idf = np.log((1 + n) / (1 + df)) + 0.05
+    idf = np.where(df <= max(COMMON * n, 1), np.log((1 + n) / (1 + df)) + 0.05, 0)
     idf[0] = 0
     width = min(rank + OVERSAMPLE, size)
     start = np.random.default_rng(SEED).standard_normal((size, width))
@@ -189,7 +193,9 @@ def latent_space(encoded: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
         yield from _parts(g)
 
     values, vectors = np.linalg.eigh(_added(encoded, gram, width, width))
-    return ((q @ vectors[:, np.argsort(-values)[:rank]]) * idf[:, None]).astype(np.float32)
+    leading = q @ vectors[:, np.argsort(-values)[:rank]]
+    random = np.random.default_rng(SEED + 1).standard_normal((size, sketch_width)) / np.sqrt(sketch_width)
+    return (np.hstack([leading, random - leading @ (leading.T @ random)]) * idf[:, None]).astype(np.float32)
 
 
 def lcs_table(item: np.ndarray) -> dict[int, int]:
@@ -253,7 +259,7 @@ def _search(encoded: DataFrame, items: Items, space: np.ndarray, cosine: float,
                 z = z[:-1] + z[1:] if n_blocks > 1 else z
                 norm = np.linalg.norm(z, axis=1)
                 full = np.flatnonzero(norm > 1e-9)
-                for k in range(0, len(full), 2048):
+                for k in range(0, len(full), 1024):
                     some = full[k : k + 2048]
                     for i in range(0, len(latent), 4096):
                         cos = (z[some] / norm[some, None]) @ latent[i : i + 4096].T
@@ -269,7 +275,8 @@ def _search(encoded: DataFrame, items: Items, space: np.ndarray, cosine: float,
                 low, high = max(0, block * BLOCK - n), min(len(doc), (block + 2) * BLOCK + n)
                 region = doc[low:high]
                 own, times = counts[k]
-                have = np.bincount(region, minlength=size)[own] if len(region) else np.zeros(len(own))
+                at = np.minimum(np.searchsorted(own, region), len(own) - 1)
+                have = np.bincount(at[own[at] == region], minlength=len(own))
                 if np.minimum(have, times).sum() < lcs_answer * n:  # an upper bound of the subsequence
                     continue
                 got, at, to = best_stretch(numbers[k], doc, low, high)

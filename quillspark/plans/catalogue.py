@@ -1,29 +1,676 @@
-"""Every query of the engine and its SQL."""
+"""Every query of the engine over the driver's tables, and its SQL.
+
+documents stand for paragraphs, benchmark for queries, embeddings for vectors (vector i belongs to document i and to query
+i); court, judgment_date and case_number are derived from source and doc_id. Scores are rounded before they are ranked, so
+that two engines that add in another order agree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.deploy import shared_dir, ship
+from quillspark.deploy import shared_dir, ship, table
+from quillspark.functions import numbers, text
+from quillspark.operators import acquisition, bm25, claims, dense, evidence, filters, fusion, ingest, paragraphs, records, rerank
+from quillspark.plans import audit, evaluation, gold, tuning
+from quillspark.schemas import orphans
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "bm25_topk"
+DIGITS = 6
+DATE = "make_date(cast(2000 + doc_id % 25 as int), cast(1 + doc_id % 12 as int), cast(1 + doc_id % 28 as int))"
+TOKEN_SQL = text.TOKEN.replace("'", "''")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("uid"), "text", "lang", F.col("source").alias("court"), F.expr(DATE).alias("judgment_date"),
+        F.concat(F.lit("DOC "), F.col("doc_id")).alias("case_number"),
+    )
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), "embedding", F.col("label").alias("year"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), "query_id")
+
+
+def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return bm25.search(_docs(spark, d), _queries(spark, d), k, digits=DIGITS, stable=True)
+
+
+def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return dense.search(_points(spark, d), _vectors(spark, d), k, digits=DIGITS)
+
+
+def _fused(spark: SparkSession, d: str, k: int = fusion.RRF_K, depth: int = 50) -> DataFrame:
+    return fusion.fuse(_bm25(spark, d, depth), _dense(spark, d, depth), k, digits=9)
+
+
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
+    some = _fused(spark, d).where("hybrid_rank <= 30")
+    full = some.join(_docs(spark, d).select("uid", "text"), "uid").join(_queries(spark, d), "query_id")  # texts only after top-k
+    return rerank.rerank(full, digits=DIGITS)
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    """Labels: a document that holds the passage (3), its first 60 (2) or 25 (1) characters. The stated queries meet all texts."""
+    hit = F.contains("text", F.left("query", F.lit(25)))
+    met = _docs(spark, d).select("uid", "text").join(_queries(spark, d), hit)
+    grade = F.when(F.contains("text", "query"), 3).when(F.contains("text", F.left("query", F.lit(60))), 2).otherwise(1)
+    return met.select("query_id", "uid", grade.alias("grade"))
+
+
+def _systems(spark: SparkSession, d: str) -> DataFrame:
+    """system, query_id, position, uid of the best ten of four systems."""
+    named = lambda df, s, c: df.where(F.col(c) <= 10).select(F.lit(s).alias("system"), "query_id", F.col(c).alias("position"), "uid")
+    return (
+        named(_bm25(spark, d, 50), "bm25", "rank")
+        .union(named(_dense(spark, d, 50), "dense", "rank"))
+        .union(named(_fused(spark, d), "hybrid", "hybrid_rank"))
+        .union(named(_reranked(spark, d), "reranked", "reranked_rank"))
+    )
+
+
+def _per_query(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.per_query(_systems(spark, d), _gold(spark, d), spark.createDataFrame([("bm25",), ("dense",), ("hybrid",), ("reranked",)], "system string"))
+
+
+def _facet_queries(spark: SparkSession, d: str) -> DataFrame:
+    n = _gold(spark, d).join(_docs(spark, d).select("uid", "court"), "uid").groupBy("query_id").agg(F.count("*").alias("n_labels"), F.count_distinct("court").alias("n_judgments"))
+    kinds, levels = F.array(*map(F.lit, gold.TYPES)), F.array(*map(F.lit, gold.DIFFICULTIES))
+    return n.select("query_id", F.get(kinds, (F.col("query_id") % 7).cast("int")).alias("query_type"), F.get(levels, (F.col("query_id") % 3).cast("int")).alias("difficulty"), "n_labels", "n_judgments")
+
+
+# ---------------------------------------------------------------- SQL that queries share
+
+_D = f"SELECT doc_id AS uid, text, lang, source AS court, {DATE} AS judgment_date, 'DOC ' || doc_id AS case_number FROM documents"
+_TOKENS = f"regexp_extract_all(replace(replace(lower(coalesce(%s, '')), 'ß', 'ss'), 'ς', 'σ'), '{TOKEN_SQL}')"
+_BASE = f"""
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+d AS ({_D}),
+dt AS (SELECT uid, {_TOKENS % "text"} AS toks FROM d),
+qt AS (SELECT query_id, tok, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS % "query"}) AS tok FROM q) GROUP BY ALL),
+corpus AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
+p AS (SELECT uid, tok, count(*) AS tf, any_value(dl) AS dl FROM (SELECT uid, len(toks) AS dl, unnest(toks) AS tok FROM dt)
+      WHERE tok IN (SELECT tok FROM qt) GROUP BY uid, tok),
+df AS (SELECT tok, count(*) AS df FROM p GROUP BY tok),
+"""
+_SCORE = "round(sum(qtf * ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl))), 6)"
+
+
+def _bm25_sql(where: str = "TRUE") -> str:
+    return f"""{_BASE}
+sc AS (SELECT query_id, p.uid, {_SCORE} AS score FROM qt JOIN p USING (tok) JOIN df USING (tok) JOIN d ON d.uid = p.uid, corpus WHERE {where} GROUP BY query_id, p.uid),
+bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid) AS rank FROM sc)"""
+
+
+def _dense_sql(where: str = "TRUE") -> str:
+    return f"""
+v AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+ds AS (SELECT query_id, vec_id AS uid, round(list_inner_product(qv, embedding::DOUBLE[]), 6) AS score FROM embeddings, v WHERE {where}),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid) AS rank FROM ds)"""
+
+
+_FUSED = f"""{_bm25_sql()},{_dense_sql()},
+f AS (SELECT coalesce(b.query_id, e.query_id) AS query_id, coalesce(b.uid, e.uid) AS uid, b.rank AS bm25_rank, b.score AS bm25_score,
+             e.rank AS dense_rank, e.score AS dense_score,
+             round(coalesce(1e0 / (10 + b.rank), 0e0) + coalesce(1e0 / (10 + e.rank), 0e0), 9) AS rrf_score
+      FROM (SELECT * FROM bm25 WHERE rank <= 50) b FULL JOIN (SELECT * FROM dense WHERE rank <= 50) e ON b.query_id = e.query_id AND b.uid = e.uid),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, uid) AS hybrid_rank FROM f)"""
+_RERANKED = f"""{_FUSED},
+rs AS (SELECT fused.*, q.query, d.text, round(len(list_intersect(list_distinct(qk), dk)) / len(list_distinct(qk))::DOUBLE, 6) AS cross_encoder_score
+       FROM fused JOIN d USING (uid) JOIN q USING (query_id) JOIN (SELECT uid, toks AS dk FROM dt) USING (uid)
+            JOIN (SELECT query_id, {_TOKENS % "query"} AS qk FROM q) USING (query_id) WHERE hybrid_rank <= 30),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cross_encoder_score DESC, hybrid_rank, uid) AS reranked_rank FROM rs),
+reranked AS (SELECT * FROM rr WHERE reranked_rank <= 10)"""
+_GOLD = """
+gold AS (SELECT query_id, uid, CASE WHEN contains(text, query) THEN 3 WHEN contains(text, left(query, 60)) THEN 2 ELSE 1 END AS grade
+         FROM d JOIN q ON contains(text, left(query, 25)))"""
+_SYSTEMS = f"""{_RERANKED},{_GOLD},
+sys AS (SELECT 'bm25' AS system, query_id, rank AS pos, uid FROM bm25 WHERE rank <= 10 UNION ALL
+        SELECT 'dense', query_id, rank, uid FROM dense WHERE rank <= 10 UNION ALL
+        SELECT 'hybrid', query_id, hybrid_rank, uid FROM fused WHERE hybrid_rank <= 10 UNION ALL
+        SELECT 'reranked', query_id, reranked_rank, uid FROM reranked)"""
+_METRICS = f"""
+ideal AS (SELECT query_id, count(*) AS n_gold, sum((2 ** grade - 1) / log2(place + 1)) FILTER (place <= 10) AS ideal
+          FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, uid) AS place FROM gold) GROUP BY query_id),
+hit AS (SELECT system, query_id, count(*) AS h10, count(*) FILTER (pos <= 5) AS h5, min(pos) AS first, sum((2 ** grade - 1) / log2(pos + 1)) AS dcg
+        FROM sys JOIN gold USING (query_id, uid) GROUP BY system, query_id),
+pq AS (SELECT s.system, i.query_id, coalesce(h5 / n_gold::DOUBLE, 0) AS recall_at_5, coalesce(h10 / n_gold::DOUBLE, 0) AS recall_at_10,
+              coalesce(1e0 / first, 0) AS reciprocal_rank, coalesce(dcg / ideal, 0) AS ndcg_at_10, first AS first_relevant_rank, n_gold
+       FROM ideal i CROSS JOIN (VALUES ('bm25'), ('dense'), ('hybrid'), ('reranked')) AS s(system) LEFT JOIN hit h ON h.system = s.system AND h.query_id = i.query_id)"""
+_PER_QUERY = f"{_SYSTEMS},{_METRICS}"
+_ROUNDED = ", ".join(f"round({m}, 9) AS {m}" for m in evaluation.METRICS)
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ---------------------------------------------------------------- corpus
+
+@query("SELECT doc_id, lang, source, quality, toxic, length(text) AS n_characters FROM documents JOIN labels USING (doc_id)")
+def corpus_scan_join(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_characters"))
+    return docs.join(table(spark, d, "labels"), "doc_id")
+
+
+_HASH = r"sha256(trim(regexp_replace(text, '\s+', ' ', 'g')))"
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, {_HASH} AS document_hash FROM documents)
+SELECT document_hash, min(doc_id) AS first_doc, count(*) AS n_rows FROM h GROUP BY document_hash""")
+def document_hash_dedup(spark, d):
+    h = table(spark, d, "documents").select("doc_id", text.document_hash(text.normalize_stable(F.col("text"))).alias("document_hash"))
+    return h.groupBy("document_hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_rows"))
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, sha1(unhex('{paragraphs.NAMESPACE.replace("-", "")}') || encode({_HASH} || ':' || (doc_id + 1) || ':' || {_HASH})) AS s FROM documents)
+SELECT doc_id, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || translate(s[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || s[18:20] || '-' || s[21:32] AS paragraph_uid FROM h""")
+def paragraph_uid(spark, d):
+    h = table(spark, d, "documents").select("doc_id", text.document_hash(text.normalize_stable(F.col("text"))).alias("document_hash"))
+    numbered = h.select("doc_id", "document_hash", (F.col("doc_id") + 1).alias("paragraph_number"), F.col("document_hash").alias("text_hash"))
+    return paragraphs.with_uids(numbered).select("doc_id", "paragraph_uid")
+
+
+@query(r"""
+SELECT conv_id, (turn + 1)::INT AS paragraph_number, CASE WHEN n > 2 THEN 1 + turn // 2 END::INT AS page_number, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text
+FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)""")
+def paragraph_extract(spark, d):
+    """Conversations as numbered paragraphs, two a page."""
+    part = F.concat(F.when((F.col("turn") > 0) & (F.col("turn") % 2 == 0), F.lit("\f")).otherwise(""), (F.col("turn") + 1).cast("string"), F.lit(". "), F.col("text"))
+    docs = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("p"))
+    whole = docs.select("conv_id", F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("raw_text"))
+    found = paragraphs.deduplicate(paragraphs.extract_paragraphs(whole, keep=("conv_id",)), by="conv_id")
+    return found.select("conv_id", "paragraph_number", "page_number", "text")
+
+
+def _raw_records(spark, d) -> DataFrame:
+    """documents as JSON lines with changing aliases and nesting; every 10th has no text, every 11th is broken."""
+    row = table(spark, d, "documents").select("*", F.expr(DATE).alias("day"), F.concat(F.lit("DOC "), F.col("doc_id")).alias("no"))
+    flat = F.to_json(F.struct(F.col("no").alias("case_no"), F.col("source").alias("courtName"), F.date_format("day", "dd/MM/yyyy").alias("decided_on"), F.col("text").alias("judgment-text")))
+    nested = F.to_json(F.struct(F.struct(F.col("no").alias("CASE_NUMBER"), F.col("source").alias("Forum"), F.date_format("day", "d MMMM yyyy").alias("date")).alias("metadata"), F.struct(F.col("text").alias("body")).alias("content")))
+    listed = F.to_json(F.struct(F.col("no").alias("name"), F.col("no").alias("docket number"), F.array("source").alias("court"), F.col("day").alias("judgment_date"), F.array("text", F.lit(" ")).alias("raw_text")))
+    value = (
+        F.when(F.col("doc_id") % 11 == 10, F.left(flat, F.lit(40)))
+        .when(F.col("doc_id") % 10 == 9, F.to_json(F.struct(F.col("no").alias("title"), F.lit("  ").alias("text"))))
+        .when(F.col("doc_id") % 3 == 0, flat).when(F.col("doc_id") % 3 == 1, nested).otherwise(listed)
+    )
+    return row.select(F.col("doc_id").alias("line_number"), value.alias("value"))
+
+
+_RECORDS = f"""
+r AS (SELECT doc_id AS line_number, {_HASH} AS h, text, 'DOC ' || doc_id AS no, source, {DATE} AS day,
+      CASE WHEN doc_id % 11 = 10 THEN 'not JSON' WHEN doc_id % 10 = 9 THEN 'no text' END AS reason FROM documents)"""
+
+
+@query(f"""
+WITH {_RECORDS}
+SELECT line_number, reason, CASE WHEN reason = 'not JSON' THEN 'Untitled case' ELSE no END AS title, CASE WHEN reason IS NULL THEN no END AS case_number,
+       CASE WHEN reason IS NULL AND line_number % 3 < 2 THEN source END AS court, CASE WHEN reason IS NULL THEN day::VARCHAR END AS judgment_date,
+       CASE WHEN reason IS NULL THEN h END AS document_hash FROM r""")
+def record_normalize(spark, d):
+    out = records.normalize_records(_raw_records(spark, d), stable=True)
+    good = F.col("reason").isNull()
+    return out.select("line_number", "reason", "title", "case_number", "court", numbers.iso(F.col("judgment_date")).alias("judgment_date"), F.when(good, F.col("document_hash")).alias("document_hash"))
+
+
+@query(f"""
+WITH {_RECORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY h, reason IS NULL ORDER BY line_number) AS nth FROM r)
+SELECT count(*) FILTER (reason IS NULL AND nth = 1) AS inserted, count(*) FILTER (reason IS NULL AND nth > 1) AS duplicates, count(reason) AS failed FROM o""")
+def ingest_counters(spark, d):
+    return ingest.counters(ingest.outcomes(records.normalize_records(_raw_records(spark, d), stable=True)))
+
+
+@query(f"""
+WITH {_RECORDS}
+SELECT line_number, reason FROM r WHERE reason IS NOT NULL""")
+def ingest_failures(spark, d):
+    return ingest.failures(ingest.outcomes(records.normalize_records(_raw_records(spark, d), stable=True))).select("line_number", "reason")
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 10 < 9 THEN year({DATE}) END::INT AS year,
+       CASE WHEN doc_id % 10 < 9 THEN strftime({DATE}, '%Y-%m-%d') END AS iso, doc_id % 10 = 9 AS failed FROM documents""")
+def date_parse(spark, d):
+    forms = ("yyyy-MM-dd", "dd-MM-yyyy", "d/M/yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "d MMMM yyyy", "dd MMM yyyy", "MMMM d, yyyy", "MMM dd, yyyy")
+    day, value = F.expr(DATE), F.lit("the 3rd of May")
+    for k, form in enumerate(forms):
+        value = F.when(F.col("doc_id") % 10 == k, F.date_format(day, form)).otherwise(value)
+    rows = table(spark, d, "documents").select("doc_id", value.alias("v"))
+    parsed = numbers.parse_date(F.col("v"))
+    return rows.select("doc_id", F.year(parsed).alias("year"), numbers.iso(parsed).alias("iso"), numbers.date_failed(F.col("v")).alias("failed"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(s) <= 240 THEN s ELSE rtrim(left(s, 239)) || '…' END AS snippet,
+  CASE WHEN length(text) < 20 THEN 'very_short_under_20' WHEN length(text) < 200 THEN 'short_20_199' WHEN length(text) < 1000 THEN 'medium_200_999' ELSE 'long_1000_plus' END AS bucket
+FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents)""")
+def text_snippets(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.snippet(F.col("text"), 240).alias("snippet"), text.length_bucket(F.col("text")).alias("bucket"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props))::INT AS n_keys FROM events""")
+def json_access(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).alias("n_keys"))
+
+
+# ---------------------------------------------------------------- lexical and dense retrieval
+
+@query(f"""WITH dt AS (SELECT doc_id, {_TOKENS % "text"} AS toks FROM documents)
+SELECT doc_id, len(toks)::INT AS n_tokens, len(list_distinct(toks))::INT AS n_distinct FROM dt""")
+def token_counts(spark, d):
+    toks = text.tokens(text.latin_fold(F.coalesce("text", F.lit(""))))
+    return table(spark, d, "documents").select("doc_id", toks.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({_TOKENS % "text"}) AS token FROM documents), n AS (SELECT count(*) AS n FROM documents)
+SELECT token, count(DISTINCT doc_id) AS df, round(ln(1e0 + (any_value(n) - count(DISTINCT doc_id) + 5e-1) / (count(DISTINCT doc_id) + 5e-1)), 9) AS idf FROM t, n GROUP BY token""")
+def term_stats(spark, d):
+    return _rounded(bm25.build(_docs(spark, d), stable=True).term_stats, "idf")
+
+
+@query(f"WITH {_bm25_sql()} SELECT query_id, uid, score, rank::INT AS rank FROM bm25 WHERE rank <= 10")
+def bm25_topk(spark, d):
+    return _bm25(spark, d, 10)
+
+
+@query(f"WITH {_bm25_sql('d.court = ' + chr(39) + 'src1' + chr(39) + ' AND year(d.judgment_date) = 2001')} SELECT query_id, uid, score, rank::INT AS rank FROM bm25 WHERE rank <= 10")
+def bm25_filtered(spark, d):
+    docs = filters.with_filter_columns(_docs(spark, d), stable=True)
+    return bm25.search(docs, _queries(spark, d), 10, filters.Filters(court=" SRC1 ", year=2001).predicate(), DIGITS, stable=True)
+
+
+@query(f"WITH {_dense_sql()} SELECT query_id, uid, score, rank::INT AS rank FROM dense WHERE rank <= 10")
+def dense_topk(spark, d):
+    return _dense(spark, d, 10)
+
+
+@query(f"WITH {_dense_sql('label = 3')} SELECT query_id, uid, score, rank::INT AS rank FROM dense WHERE rank <= 10")
+def dense_filtered(spark, d):
+    return dense.search(_points(spark, d), _vectors(spark, d), 10, F.col("year") == 3, DIGITS)
+
+
+@query(f"WITH {_dense_sql()} SELECT query_id, uid, score, rank::INT AS rank FROM dense WHERE rank <= 10")
+def dense_by_expression(spark, d):
+    return dense.search_expression(_points(spark, d), _vectors(spark, d), 10, digits=DIGITS)
+
+
+@query(f"""WITH {_FUSED} SELECT query_id, uid, bm25_rank::INT AS bm25_rank, bm25_score, dense_rank::INT AS dense_rank, dense_score, rrf_score, hybrid_rank::INT AS hybrid_rank
+FROM fused WHERE hybrid_rank <= 10""")
+def rrf_hybrid(spark, d):
+    return _fused(spark, d).where("hybrid_rank <= 10")
+
+
+@query(f"""WITH {_FUSED} SELECT query_id, count(bm25_rank) AS bm25_candidates, count(dense_rank) AS dense_candidates,
+count(*) FILTER (bm25_rank IS NOT NULL AND dense_rank IS NOT NULL) AS common_candidates, count(*) AS candidates FROM fused GROUP BY query_id""")
+def hybrid_candidates(spark, d):
+    return fusion.candidate_counts(_fused(spark, d))
+
+
+@query(f"WITH {_RERANKED} SELECT query_id, uid, hybrid_rank::INT AS hybrid_rank, cross_encoder_score, reranked_rank::INT AS reranked_rank FROM reranked")
+def rerank_lexical(spark, d):
+    return _reranked(spark, d).select("query_id", "uid", "hybrid_rank", "cross_encoder_score", "reranked_rank")
+
+
+@query(f"""WITH {_RERANKED}
+SELECT 'reranked' AS mode, query_id, uid, bm25_rank::INT AS bm25_rank, dense_rank::INT AS dense_rank, rrf_score, hybrid_rank::INT AS hybrid_rank, cross_encoder_score, reranked_rank::INT AS final_rank FROM reranked
+UNION ALL SELECT 'bm25', query_id, uid, rank::INT, NULL, NULL, NULL, NULL, rank::INT FROM bm25 WHERE rank <= 10
+UNION ALL SELECT 'dense', query_id, uid, NULL, rank::INT, NULL, NULL, NULL, rank::INT FROM dense WHERE rank <= 10
+UNION ALL SELECT 'hybrid', query_id, uid, bm25_rank::INT, dense_rank::INT, rrf_score, hybrid_rank::INT, NULL, hybrid_rank::INT FROM fused WHERE hybrid_rank <= 10""")
+def result_projection(spark, d):
+    from quillspark.plans.engine import project
+
+    parts = {"bm25": _bm25(spark, d, 10), "dense": _dense(spark, d, 10), "hybrid": _fused(spark, d).where("hybrid_rank <= 10"), "reranked": _reranked(spark, d)}
+    keep = ("query_id", "uid", "bm25_rank", "dense_rank", "rrf_score", "hybrid_rank", "cross_encoder_score", "final_rank")
+    out = None
+    for mode, df in parts.items():
+        rows = project(df, mode).select(F.lit(mode).alias("mode"), *keep)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# ---------------------------------------------------------------- evaluation and tuning
+
+@query(f"WITH {_PER_QUERY} SELECT system, query_id, {_ROUNDED}, first_relevant_rank::INT AS first_relevant_rank, n_gold FROM pq")
+def eval_per_query(spark, d):
+    return _rounded(_per_query(spark, d), *evaluation.METRICS)
+
+
+@query(f"WITH {_PER_QUERY} SELECT system, {', '.join(f'round(avg({m}), 9) AS {m}' for m in evaluation.METRICS)}, count(*) AS n_queries FROM pq GROUP BY system")
+def eval_macro(spark, d):
+    return _rounded(evaluation.macro(_per_query(spark, d)), *evaluation.METRICS)
+
+
+@query(f"""WITH {_PER_QUERY}, m AS (SELECT *, max(ndcg_at_10) OVER (PARTITION BY system) AS best, min(ndcg_at_10) OVER (PARTITION BY system) AS worst FROM pq)
+SELECT system, count(first_relevant_rank) AS queries_with_hit, count(*) - count(first_relevant_rank) AS queries_without_hit, count(*) FILTER (first_relevant_rank = 1) AS hits_at_1,
+count(*) FILTER (abs(ndcg_at_10 - best) <= 1e-9) AS n_best, min(query_id) FILTER (abs(ndcg_at_10 - worst) <= 1e-9) AS first_worst FROM m GROUP BY system""")
+def eval_diagnostics(spark, d):
+    out = evaluation.diagnostics(_per_query(spark, d))
+    return out.select("system", "queries_with_hit", "queries_without_hit", "hits_at_1", F.size("best_queries").cast("long").alias("n_best"), F.get("worst_queries", F.lit(0)).alias("first_worst"))
+
+
+@query(f"""WITH {_PER_QUERY}, b AS (SELECT l.query_id, l.ndcg_at_10 AS l, r.ndcg_at_10 AS r FROM pq l JOIN pq r USING (query_id) WHERE l.system = 'bm25' AND r.system = 'hybrid')
+SELECT CASE WHEN abs(l - r) <= 1e-9 THEN 'tie' WHEN l > r THEN 'win' ELSE 'loss' END AS outcome, count(*) AS n, min(query_id) AS first_query FROM b GROUP BY 1""")
+def system_wins(spark, d):
+    return evaluation.wins(_per_query(spark, d), "bm25", "hybrid").select("outcome", "n", F.get("query_ids", F.lit(0)).alias("first_query"))
+
+
+@query(f"""WITH {_PER_QUERY} SELECT q.query_id, s.system, 'missing' AS problem FROM q CROSS JOIN (VALUES ('bm25'), ('reranked'), ('oracle')) AS s(system)
+WHERE NOT EXISTS (SELECT 1 FROM pq WHERE pq.query_id = q.query_id AND pq.system = s.system)
+UNION ALL SELECT query_id, system, 'unexpected' FROM pq WHERE system NOT IN ('bm25', 'reranked', 'oracle')""")
+def eval_completeness(spark, d):
+    return evaluation.completeness(_per_query(spark, d), _queries(spark, d), ["bm25", "reranked", "oracle"])
+
+
+_GRID_ROWS = ", ".join(f"('rrf_b{b}_d{e}_k{k}', {b}, {e}, {k})" for b, e, k in dict.fromkeys([(50, 50, k) for k in tuning.RRF_VALUES] + [(*x, 60) for x in tuning.DEPTHS]))
+_GRID = f"""{_bm25_sql()},{_dense_sql()},{_GOLD},
+grid(system, bd, dd, k) AS (VALUES {_GRID_ROWS}),
+gf AS (SELECT coalesce(b.system, e.system) AS system, coalesce(b.query_id, e.query_id) AS query_id, coalesce(b.uid, e.uid) AS uid,
+  round(coalesce(1e0 / (coalesce(b.k, e.k) + b.rank), 0e0) + coalesce(1e0 / (coalesce(b.k, e.k) + e.rank), 0e0), 9) AS s
+  FROM (SELECT * FROM bm25, grid WHERE rank <= bd) b FULL JOIN (SELECT * FROM dense, grid WHERE rank <= dd) e ON b.system = e.system AND b.query_id = e.query_id AND b.uid = e.uid),
+sys AS (SELECT * FROM (SELECT system, query_id, uid, row_number() OVER (PARTITION BY system, query_id ORDER BY s DESC, uid) AS pos FROM gf) WHERE pos <= 10),
+{_METRICS.replace("(VALUES ('bm25'), ('dense'), ('hybrid'), ('reranked')) AS s(system)", "grid s")},
+gm AS (SELECT system AS experiment_id, {', '.join(f'round(avg({m}), 9) AS {m}' for m in evaluation.METRICS)} FROM pq GROUP BY system)"""
+
+
+def _grid_metrics(spark, d) -> DataFrame:
+    configs = tuning.grid(spark)
+    swept = tuning.sweep(_bm25(spark, d, 50), _dense(spark, d, 50), configs, digits=9)
+    ranked = swept.select(F.col("experiment_id").alias("system"), "query_id", F.col("hybrid_rank").alias("position"), "uid")
+    rows = evaluation.per_query(ranked, _gold(spark, d), configs.select(F.col("experiment_id").alias("system")))
+    return _rounded(evaluation.macro(rows).withColumnRenamed("system", "experiment_id").drop("n_queries"), *evaluation.METRICS)
+
+
+@query(f"WITH {_GRID} SELECT * FROM gm")
+def rrf_grid(spark, d):
+    return _grid_metrics(spark, d)
+
+
+@query(f"WITH {_GRID} SELECT experiment_id, ndcg_at_10 FROM gm JOIN grid ON system = experiment_id ORDER BY ndcg_at_10 DESC, recall_at_10 DESC, reciprocal_rank DESC, bd + dd, experiment_id LIMIT 1")
+def best_experiment(spark, d):
+    rows = _grid_metrics(spark, d).withColumnRenamed("reciprocal_rank", "mrr").withColumn("runtime_seconds", F.lit(0.0)).join(tuning.grid(spark), "experiment_id")
+    return tuning.best_experiment(rows).select("experiment_id", "ndcg_at_10")
+
+
+@query(f"""WITH {_bm25_sql()},{_dense_sql()},{_GOLD}, u AS (SELECT query_id, uid FROM bm25 WHERE rank <= 30 UNION SELECT query_id, uid FROM dense WHERE rank <= 30)
+SELECT query_id, round(count(u.uid) / count(*)::DOUBLE, 9) AS recall FROM gold LEFT JOIN u USING (query_id, uid) GROUP BY query_id""")
+def candidate_recall(spark, d):
+    return _rounded(tuning.candidate_recall([_bm25(spark, d, 30), _dense(spark, d, 30)], _gold(spark, d), 30), "recall")
+
+
+@query(f"""WITH {_RERANKED},{_GOLD} SELECT query_id, CASE WHEN count(r.uid) > 0 THEN 'success' WHEN count(f.uid) > 0 THEN 'bad_reranking' ELSE 'missing_candidates' END AS failure_class
+FROM gold LEFT JOIN (SELECT query_id, uid FROM fused WHERE hybrid_rank <= 30) f USING (query_id, uid) LEFT JOIN (SELECT query_id, uid FROM reranked) r USING (query_id, uid) GROUP BY query_id""")
+def failure_classes(spark, d):
+    return tuning.failure_classes(_fused(spark, d).where("hybrid_rank <= 30"), _reranked(spark, d).withColumnRenamed("reranked_rank", "rank"), _gold(spark, d))
+
+
+_FACETS = f"""fq AS (SELECT query_id, [{', '.join(repr(t) for t in gold.TYPES)}][query_id % 7 + 1] AS query_type, [{', '.join(repr(t) for t in gold.DIFFICULTIES)}][query_id % 3 + 1] AS difficulty,
+  count(*) AS n_labels, count(DISTINCT court) AS n_judgments FROM gold JOIN d USING (uid) GROUP BY query_id),
+ff AS (SELECT query_id, 'query_type' AS facet, query_type AS category FROM fq UNION ALL SELECT query_id, 'difficulty', difficulty FROM fq
+  UNION ALL SELECT query_id, 'gold_paragraph_count', n_labels::VARCHAR FROM fq UNION ALL SELECT query_id, 'judgment_scope', CASE WHEN n_judgments > 1 THEN 'multi_judgment' ELSE 'single_judgment' END FROM fq)"""
+
+
+@query(f"WITH {_PER_QUERY},{_FACETS} SELECT facet, category, system, {', '.join(f'round(avg({m}), 9) AS {m}' for m in evaluation.METRICS)}, count(*) AS n_queries FROM pq JOIN ff USING (query_id) GROUP BY ALL")
+def facet_breakdown(spark, d):
+    return _rounded(tuning.facets(_facet_queries(spark, d), _per_query(spark, d)), *evaluation.METRICS)
+
+
+@query(f"WITH {_PER_QUERY}, m AS (SELECT system, {', '.join(f'avg({m}) AS {m}' for m in evaluation.METRICS)} FROM pq GROUP BY system) SELECT m.system, {', '.join(f'round(m.{x} - b.{x}, 9) AS {x}' for x in evaluation.METRICS)} FROM m, m b WHERE b.system = 'bm25'")
+def system_deltas(spark, d):
+    return _rounded(tuning.deltas(evaluation.macro(_per_query(spark, d)), "bm25"), *evaluation.METRICS)
+
+
+@query("""SELECT lang, count(*) AS n, min(length(text)) AS min_length, median(length(text)) AS median_length, quantile_disc(length(text), 0.95) AS p95_length, max(length(text)) AS max_length FROM documents GROUP BY lang""")
+def length_stats(spark, d):
+    return tuning.length_stats(table(spark, d, "documents"), ("lang",))
+
+
+@query(f"""WITH {_SYSTEMS}, s AS (SELECT DISTINCT system FROM sys), b AS (SELECT uid, CASE WHEN length(text) < 20 THEN 'very_short_under_20' WHEN length(text) < 200 THEN 'short_20_199' WHEN length(text) < 1000 THEN 'medium_200_999' ELSE 'long_1000_plus' END AS bucket FROM d)
+SELECT s.system, bucket, count(*) AS n_gold, count(sys.uid) AS n_retrieved FROM gold JOIN b USING (uid) CROSS JOIN s LEFT JOIN sys ON sys.system = s.system AND sys.query_id = gold.query_id AND sys.uid = gold.uid GROUP BY ALL""")
+def length_buckets(spark, d):
+    return tuning.bucket_recall(_docs(spark, d), _gold(spark, d), _systems(spark, d))
+
+
+_FEATURES = f"""qf AS (SELECT query_id, lower(query) AS low FROM q),
+fe AS (SELECT query_id, 'names_statute' AS feature FROM qf WHERE regexp_matches(low, '{text.STATUTE_TERMS}') UNION ALL SELECT query_id, 'names_citation' FROM qf WHERE regexp_matches(low, '{text.CITATION_TERMS}')
+  UNION ALL SELECT query_id, 'names_case' FROM qf WHERE contains(low, 'of the') OR contains(low, 'in the'))"""
+
+
+@query(f"WITH {_PER_QUERY},{_FEATURES} SELECT feature, system, {', '.join(f'round(avg({m}), 9) AS {m}' for m in evaluation.METRICS)}, count(*) AS n_queries FROM pq JOIN fe USING (query_id) GROUP BY ALL")
+def query_features(spark, d):
+    named = _queries(spark, d).withColumn("case_names", F.array(F.lit("Of The"), F.lit("In the"), F.lit("Word")))
+    return _rounded(tuning.feature_groups(named, _per_query(spark, d)), *evaluation.METRICS)
+
+
+@query(f"""WITH {_RERANKED},{_GOLD}, s AS (SELECT 'bm25' AS system, query_id, uid, rank FROM bm25 WHERE rank <= 50 UNION ALL SELECT 'dense', query_id, uid, rank FROM dense WHERE rank <= 50)
+SELECT n.system, gold.query_id, gold.uid, grade, s.rank::INT AS rank FROM gold CROSS JOIN (VALUES ('bm25'), ('dense')) AS n(system) LEFT JOIN s ON s.system = n.system AND s.query_id = gold.query_id AND s.uid = gold.uid""")
+def gold_ranks(spark, d):
+    named = lambda df, s: df.select(F.lit(s).alias("system"), "query_id", F.col("rank").alias("position"), "uid")
+    return tuning.ranks_of(_gold(spark, d), named(_bm25(spark, d, 50), "bm25").union(named(_dense(spark, d, 50), "dense"))).select("system", "query_id", "uid", "grade", "rank")
+
+
+# ---------------------------------------------------------------- gold set, audit
+
+def _gold_set(spark, d) -> DataFrame:
+    label = F.struct(
+        F.col("uid").cast("string").alias("paragraph_uid"), F.col("grade").alias("relevance"), F.col("court").alias("case_name"), "case_number",
+        F.lit(1).alias("paragraph_number"), F.lit(None).cast("int").alias("page_number"), F.lit("").alias("reason"),
+    )
+    found = _gold(spark, d).join(_docs(spark, d), "uid").groupBy("query_id").agg(F.array_sort(F.collect_list(label)).alias("relevant_paragraphs"))
+    facets = _facet_queries(spark, d).select("query_id", "query_type", "difficulty")
+    rows = _queries(spark, d).join(facets, "query_id", "left").join(found, "query_id", "left")
+    return rows.select(F.col("query_id").cast("string"), "query", "query_type", "difficulty", F.lit("").alias("notes"), F.coalesce("relevant_paragraphs", F.array().cast(found.schema["relevant_paragraphs"].dataType)).alias("relevant_paragraphs"))
+
+
+@query(f"""WITH {_BASE}{_GOLD.strip()},{_FACETS}
+SELECT query_id::VARCHAR AS query_id, problem FROM (
+  SELECT q.query_id, unnest(CASE WHEN fq.query_id IS NULL THEN ['unknown query_type', 'unknown difficulty', 'no labels', 'no label of the best grade'] ELSE [] END) AS problem FROM q LEFT JOIN fq USING (query_id)
+  UNION ALL SELECT query_id, 'no label of the best grade' FROM gold GROUP BY query_id HAVING max(grade) < 3
+  UNION ALL SELECT query_id, 'unknown paragraph' FROM gold WHERE uid % 5 = 0
+  UNION ALL SELECT query_id, 'provenance differs' FROM gold WHERE uid % 5 = 1)
+UNION ALL SELECT NULL, 'another number of queries'""")
+def gold_violations(spark, d):
+    """Against a store that lacks every fifth document and has another case number for every fifth."""
+    stored = _docs(spark, d).where("uid % 5 != 0").select(
+        F.col("uid").cast("string").alias("paragraph_uid"), F.col("court").alias("case_name"), F.when(F.col("uid") % 5 != 1, F.col("case_number")).alias("case_number"),
+        F.lit(1).alias("paragraph_number"), F.lit(None).cast("int").alias("page_number"),
+    )
+    return gold.violations(_gold_set(spark, d), stored, expected=0)
+
+
+@query(f"""WITH {_BASE}{_GOLD.strip()},{_FACETS}, n AS (SELECT q.query_id, count(gold.uid) AS n, count(DISTINCT (court, case_number)) FILTER (gold.uid IS NOT NULL) AS c FROM q LEFT JOIN gold USING (query_id) LEFT JOIN d USING (uid) GROUP BY 1)
+SELECT count(*) AS n_queries, sum(n)::BIGINT AS n_labels, avg(n) AS mean_labels, min(n)::INT AS min_labels, max(n)::INT AS max_labels, count(*) FILTER (n > 1) AS queries_with_several_labels,
+count(*) FILTER (c > 1) AS queries_with_several_cases, (SELECT count(DISTINCT (court, case_number)) FROM gold JOIN d USING (uid)) AS n_cases FROM n""")
+def gold_stats(spark, d):
+    return gold.statistics(_gold_set(spark, d))
+
+
+_TYPE_ROWS = ", ".join(f"('query_type', '{t}')" for t in gold.TYPES) + ", " + ", ".join(f"('difficulty', '{t}')" for t in gold.DIFFICULTIES) + ", ('relevance', '1'), ('relevance', '2'), ('relevance', '3')"
+
+
+@query(f"""WITH {_BASE}{_GOLD.strip()},{_FACETS}, dom(kind, category) AS (VALUES {_TYPE_ROWS}),
+e AS (SELECT 'query_type' AS kind, query_type AS category FROM fq UNION ALL SELECT 'difficulty', difficulty FROM fq UNION ALL SELECT 'relevance', grade::VARCHAR FROM gold)
+SELECT kind, category, count(e.kind) AS n FROM dom LEFT JOIN e USING (kind, category) GROUP BY kind, category""")
+def gold_categories(spark, d):
+    return gold.category_counts(_gold_set(spark, d))
+
+
+@query(f"""WITH c AS (SELECT DISTINCT source || '/' || lang AS case_id, CASE WHEN lang = 'de' THEN ' ' ELSE source END AS court FROM documents UNION ALL SELECT 'none', NULL),
+p AS (SELECT source || '/' || lang AS case_id, text, CASE WHEN doc_id % 3 = 0 THEN 1 END AS page_number FROM documents WHERE doc_id % 7 <> 0),
+n AS (SELECT c.case_id, count(p.case_id) AS n FROM c LEFT JOIN p USING (case_id) GROUP BY 1)
+SELECT (SELECT count(*) FROM n) AS cases, (SELECT min(n) FROM n) AS min_paragraphs, (SELECT median(n) FROM n) AS median_paragraphs, (SELECT quantile_disc(n, 0.95) FROM n) AS p95_paragraphs, (SELECT max(n) FROM n) AS max_paragraphs,
+(SELECT count(*) FROM c WHERE court IS NULL OR trim(court) = '') AS missing_court, count(*) AS paragraphs, count(*) FILTER (length(trim(text)) = 0) AS empty,
+count(*) FILTER (length(trim(text)) > 0 AND length(trim(text)) < 60) AS very_short, count(page_number) AS with_page, count(*) - count(page_number) AS without_page,
+round(count(page_number) * 100e0 / count(*), 2) AS page_coverage FROM p""")
+def corpus_audit(spark, d):
+    docs = table(spark, d, "documents").withColumn("case_id", F.concat_ws("/", "source", "lang"))
+    cases = docs.select("case_id", F.when(F.col("lang") == "de", " ").otherwise(F.col("source")).alias("court")).distinct()
+    cases = cases.union(spark.createDataFrame([("none", None)], "case_id string, court string"))
+    rows = docs.where("doc_id % 7 <> 0").select("case_id", "text", F.when(F.col("doc_id") % 3 == 0, 1).alias("page_number"))
+    return audit.corpus_audit(cases, rows, 60)
+
+
+@query("""WITH i AS (SELECT vec_id AS id FROM embeddings UNION ALL SELECT vec_id FROM embeddings WHERE vec_id % 10 = 0 UNION ALL SELECT -1 - vec_id FROM embeddings WHERE vec_id < 7),
+g AS (SELECT id, count(*) AS n FROM i GROUP BY id), b AS (SELECT doc_id, g.id, n FROM (SELECT DISTINCT doc_id FROM documents) FULL JOIN g ON doc_id = g.id)
+SELECT count(doc_id) AS stored, sum(n)::BIGINT AS indexed, count(*) FILTER (doc_id IS NOT NULL AND id IS NOT NULL) AS common, count(*) FILTER (id IS NULL) AS missing, count(*) FILTER (doc_id IS NULL) AS stale,
+sum(n - 1)::BIGINT AS repeated, round(count(*) FILTER (doc_id IS NOT NULL AND id IS NOT NULL) * 100e0 / count(doc_id), 2) AS coverage FROM b""")
+def vector_coverage(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("uid"))
+    index = v.union(v.where("uid % 10 = 0")).union(v.where("uid < 7").select((-1 - F.col("uid")).alias("uid")))
+    return audit.vector_coverage(_docs(spark, d), index)
+
+
+@query("""SELECT * FROM (SELECT DISTINCT doc_id AS uid, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT vec_id + 5 FROM embeddings) ORDER BY 1 LIMIT 20)
+UNION ALL SELECT * FROM (SELECT DISTINCT vec_id + 5, 'stale' FROM embeddings WHERE vec_id + 5 NOT IN (SELECT doc_id FROM documents) ORDER BY 1 LIMIT 20)""")
+def coverage_samples(spark, d):
+    return audit.coverage_samples(_docs(spark, d), table(spark, d, "embeddings").select((F.col("vec_id") + 5).alias("uid")))
+
+
+@query(f"WITH g AS (SELECT {_HASH} AS h, count(*) AS n FROM documents GROUP BY 1) SELECT count(*) FILTER (n > 1) AS groups, sum(n - 1)::BIGINT AS extra_rows FROM g")
+def duplicate_summary(spark, d):
+    return audit.duplicates(table(spark, d, "documents").select(text.document_hash(text.normalize_stable(F.col("text"))).alias("h")), "h")
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+def foreign_keys(spark, d):
+    return orphans(table(spark, d, "labels"), "doc_id", table(spark, d, "documents").where("doc_id % 3 <> 0"), "doc_id").select("doc_id")
+
+
+@query("""SELECT vec_id AS uid, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, -1 FROM embeddings WHERE vec_id % 4 = 0""")
+def vector_upsert(spark, d):
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), "label")
+    some = points.where("uid % 4 = 0").withColumn("label", F.lit(-1))
+    return dense.upsert(points, some.union(some.withColumn("uid", F.col("uid") + 1000000)))
+
+
+# ---------------------------------------------------------------- evidence, claims, acquisition
+
+@query(f"WITH {_RERANKED} SELECT query_id, uid, 'E' || reranked_rank AS evidence_id FROM reranked")
+def evidence_ids(spark, d):
+    return evidence.assign(_reranked(spark, d), "reranked_rank").select("query_id", "uid", "evidence_id")
+
+
+def _answers(spark, d) -> DataFrame:
+    """An answer from the first three pieces of evidence of each query; some break a rule."""
+    e = evidence.assign(_reranked(spark, d), "reranked_rank").where("reranked_rank <= 3")
+    ids = e.groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("supplied"))
+    cite = F.array_join(F.transform("supplied", lambda x: F.concat(F.lit("This passage was found. ["), x, F.lit("]"))), "\n")
+    k = F.col("query_id") % 5
+    answer = F.concat(cite, F.when(k == 1, " See [E01].").when(k == 2, " See [E9].").when(k == 4, "\nNothing else was found here.").otherwise(""))
+    declared = F.when(k == 3, F.reverse("supplied")).otherwise(F.col("supplied"))
+    return ids.select("query_id", answer.alias("answer"), declared.alias("declared"), "supplied")
+
+
+_INTEGRITY = f"""{_RERANKED}, a AS (SELECT query_id, count(*) AS n FROM reranked WHERE reranked_rank <= 3 GROUP BY query_id)"""
+
+
+@query(f"""WITH {_INTEGRITY} SELECT query_id, CASE query_id % 5 WHEN 1 THEN 'malformed citation' WHEN 2 THEN 'unknown evidence id'
+WHEN 3 THEN CASE WHEN n > 1 THEN 'declared ids differ from citations' END END AS error FROM a""")
+def citation_integrity(spark, d):
+    return _answers(spark, d).select("query_id", evidence.integrity_error(F.col("answer"), F.col("declared"), F.col("supplied")).alias("error"))
+
+
+@query(f"""WITH {_INTEGRITY}, c AS (SELECT query_id, unnest(range(1, n + 1)) AS i FROM a)
+SELECT query_id, 'C' || i AS claim_id, 'This passage was found.' AS text, 'E' || i AS citations FROM c
+UNION ALL SELECT query_id, 'C' || (n + 1), CASE query_id % 5 WHEN 1 THEN 'See [E01].' WHEN 2 THEN 'See.' ELSE 'Nothing else was found here.' END, CASE WHEN query_id % 5 = 2 THEN 'E9' ELSE '' END FROM a WHERE query_id % 5 IN (1, 4)""")
+def claim_rows(spark, d):
+    return claims.claims(_answers(spark, d)).select("query_id", "claim_id", "text", F.array_join("citation_ids", ",").alias("citations"))
+
+
+def _verdicts(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = claims.claims(_answers(spark, d))
+    said = rows.where("size(citation_ids) > 0").select("query_id", "claim_id", F.when(F.col("query_id") % 2 == 0, "SUPPORTED").otherwise("PARTIAL").alias("status"), F.concat(F.lit("Found in "), F.get("citation_ids", F.lit(0))).alias("reason"))
+    return rows, said
+
+
+_VERDICTS = f"""{_INTEGRITY}, c AS (SELECT query_id, unnest(range(1, n + 1)) AS i FROM a), ver AS (
+SELECT query_id, 'C' || i AS claim_id, CASE WHEN query_id % 2 = 0 THEN 'SUPPORTED' ELSE 'PARTIAL' END AS status, 'Found in E' || i AS reason FROM c
+UNION ALL SELECT query_id, 'C' || (n + 1), 'UNSUPPORTED', '{claims.UNCITED}' FROM a WHERE query_id % 5 IN (1, 4))"""
+
+
+@query(f"WITH {_VERDICTS} SELECT * FROM ver")
+def claim_verdicts(spark, d):
+    return claims.assemble(*_verdicts(spark, d)).select("query_id", "claim_id", "status", "reason")
+
+
+@query(f"WITH {_VERDICTS} SELECT query_id, {', '.join(f'count(*) FILTER (status = {s!r}) AS {s.lower()}' for s in claims.STATUSES)}, count(*) AS claims FROM ver GROUP BY query_id")
+def verdict_summary(spark, d):
+    return claims.summary(claims.assemble(*_verdicts(spark, d)))
+
+
+def _manifest(spark, d) -> DataFrame:
+    k = F.col("page_id") % 10
+    return table(spark, d, "pages").select(
+        F.col("page_id").alias("record_number"), F.lit("t").alias("title"), F.when(k != 0, "n").alias("case_number"), F.lit("c").alias("court"),
+        F.when(k == 1, "2020-13-01").otherwise("2020-01-31").alias("judgment_date"), F.lit("s").alias("source_name"), F.col("url").alias("source_page_url"),
+        F.regexp_replace("url", "^http:", "https:").alias("direct_pdf_url"), F.when(k == 2, "a/b.pdf").otherwise("b.PDF").alias("local_filename"), F.lit("Judgment ").alias("document_type"),
+        F.when(k == 7, F.repeat(F.lit("a"), 64)).alias("sha256"), F.sha2((F.col("page_id") % 40).cast("string"), 256).alias("content_sha256"),
+        (k != 3).alias("fetched"), (k != 4).alias("readable"), F.when(k == 5, "short JUDGMENT").when(k == 6, F.repeat(F.lit("word "), 100)).otherwise(F.concat(F.lit("J U D G M E N T "), F.repeat(F.lit("word "), 100))).alias("raw_text"),
+    )
+
+
+_HOSTS = {"suffixes": ("example.com", "example.org"), "archives": ("x.example.net",)}
+_HOST_SQL = r"lower(regexp_extract(url, '^\w+://([^/?#:]+)', 1))"
+_SOURCE_SQL = rf"""CASE WHEN page_id % 10 = 0 THEN 'missing: case_number' WHEN page_id % 10 = 1 THEN 'judgment_date isn''t an ISO date' WHEN page_id % 10 = 2 THEN 'local_filename isn''t a plain .pdf name'
+WHEN NOT (prefix(url, 'https:') AND regexp_matches({_HOST_SQL}, '(^|\.)example\.(com|org)$')) THEN 'source_page_url isn''t official' END"""
+
+
+@query(f"SELECT page_id AS record_number, {_SOURCE_SQL} AS error FROM pages")
+def manifest_validation(spark, d):
+    return _manifest(spark, d).select("record_number", acquisition.source_error(**_HOSTS).alias("error"))
+
+
+@query(f"""WITH e AS (SELECT page_id, page_id % 40 AS h, CASE WHEN {_SOURCE_SQL} IS NOT NULL THEN 'missing_metadata' WHEN page_id % 10 = 3 THEN 'failed_urls' WHEN page_id % 10 = 4 THEN 'invalid_pdfs'
+WHEN page_id % 10 = 5 THEN 'scanned_pdfs' WHEN page_id % 10 = 6 THEN 'invalid_pdfs' END AS early, page_id % 10 = 7 AS wrong FROM pages),
+f AS (SELECT *, min(page_id) FILTER (early IS NULL AND NOT wrong) OVER (PARTITION BY h) AS first FROM e)
+SELECT page_id AS record_number, CASE WHEN early IS NOT NULL THEN early WHEN page_id > first THEN 'duplicates' WHEN wrong THEN 'invalid_pdfs' ELSE 'downloaded' END AS category FROM f""")
+def acquisition_categories(spark, d):
+    return acquisition.categorize(_manifest(spark, d), **_HOSTS).select("record_number", "category")
+
+
+@query("SELECT page_id AS record_number FROM pages WHERE page_id % 3 <> 0")
+def resume_filter(spark, d):
+    rows = _manifest(spark, d)
+    keys = ("record_number", *acquisition.RESUME_KEYS)
+    return acquisition.to_extract(rows, rows.where("record_number % 3 = 0"), keys).select("record_number")
 
 
-def _shipped(query):
+def _shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
         shared_dir(spark)
-        return query(spark, sf_dir)
+        return f(spark, sf_dir)
 
     return run
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _shipped(q) for name, q in QUERIES.items()}
+def queries() -> dict[str, Query]:
+    return {name: _shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,14 +18,17 @@ from functools import lru_cache
 
 import regex
 
-#: Units kept in each of two generations of the cache.
-CACHE_UNITS = 300_000
-#: Longer units are encoded anew each time.
+#: Units kept for good, and pieces kept in each of two generations of a cache.
+CACHE_UNITS = 400_000
+CACHE_PIECES = 250_000
+#: Longer units are encoded by the whole pipeline and not kept.
 LONG_UNIT = 64
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s|^ | $")
-_PLAIN = re.compile(r"[\n!-~¡-ɏ]+\Z")
+#: White space other than space and line feed, and all beyond Latin: texts with any of it take the careful way.
+_RARE = re.compile("[^\n -~\u00a1-\u024f]")
+#: Characters that follow a word as one piece.
+_ENDS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 # Fixed value: the pattern by which byte-level BPE cuts texts into pieces.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -64,64 +67,61 @@ class Encoder:
         self.added = [t["content"] for t in added]
         self.pieces = self.pieces and all("<" in a for a in self.added)
         self.model = self.tokenizer.model
+        self.units: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
+    def _piece(self, piece: str) -> bytes:
+        got = self.young.get(piece)
+        return self._new(piece) if got is None else got
+
+    def _new(self, piece: str) -> bytes:
+        """A piece that the young generation hasn't."""
+        got = self.old.get(piece)
         if got is None:
-            if len(self.parts) >= CACHE_UNITS:
-                self.parts.clear()
-            letters = part.encode().decode("latin-1").translate(_LETTERS)
-            got = self.parts[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            letters = piece.encode().decode("latin-1").translate(_LETTERS)
+            got = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(self.young) >= CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        self.young[piece] = got
         return got
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units, each with the space before it."""
-        out, whole, part, plain = {}, [], self._part, _PLAIN.match
-        for u in units:
-            if not self.pieces or len(u) > LONG_UNIT or not plain(u) or "<" in u and any(a in u for a in self.added):
-                whole.append(u)
-            elif u.isalpha():
-                out[u] = part(" " + u)
-            elif u[-1] in ".," and u[:-1].isalpha():
-                out[u] = part(" " + u[:-1]) + part(u[-1])
-            else:
-                out[u] = b"".join(map(part, PIECE.findall(" " + u)))
-        if whole:
-            for u, e in zip(whole, self.tokenizer.encode_batch_fast([" " + u for u in whole], add_special_tokens=False), strict=True):
-                out[u] = array("I", e.ids).tobytes()
-        return out
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _unit(self, unit: str, plain: bool) -> bytes:
+        """Ids of a unit with the space before it. plain: it holds no rare characters."""
+        if len(unit) > LONG_UNIT or not self.pieces or not plain and _RARE.search(unit) or "<" in unit and any(a in unit for a in self.added):
+            return self._whole(" " + unit)
+        head = unit.rstrip(_ENDS)
+        if not head.isalpha():
+            return b"".join(map(self._piece, PIECE.findall(" " + unit)))
+        word, end = " " + head, unit[len(head) :]
+        got = self.young.get(word)
+        seen = got is not None
+        if not seen:
+            got = self._new(word)
+        if end:
+            got += self._piece(end)
+        if seen and len(self.units) < CACHE_UNITS:  # words seen once only don't fill it
+            self.units[unit] = got
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.cuts or sys.byteorder != "little":
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
+        out, get, unit = [], self.units.get, self._unit
         for text in texts:
-            first, *rest = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
-            head = array("I", self.tokenizer.encode(first, add_special_tokens=False).ids).tobytes() if first else b""
-            try:
-                out.append(head + b"".join(map(self.young.__getitem__, rest)))
-                continue
-            except KeyError:
-                pass
-            if len(self.young) > CACHE_UNITS:
-                self.old, self.young = self.young, {}
-            young, old, missing = self.young, self.old, []
-            for u in set(rest):
-                if u not in young:
-                    if (got := old.get(u)) is not None:
-                        young[u] = got
-                    else:
-                        missing.append(u)
-            fresh = self._learn(missing)
-            young.update(fresh)
-            out.append(head + b"".join(map(young.__getitem__, rest)))
-            for u in fresh:
-                if len(u) > LONG_UNIT:
-                    del young[u]
+            plain = not _RARE.search(text)
+            if plain and not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "):
+                first, *rest = text.split(" ")
+            else:
+                first, *rest = _CUT.split(text)
+            found = list(map(get, rest))
+            if None in found:
+                found = [unit(u, plain) if x is None else x for u, x in zip(rest, found, strict=True)]
+            out.append(b"".join([self._whole(first) if first else b"", *found]))
         return out
 
 

@@ -9,7 +9,9 @@
    slice of the vocabulary before anything comes to the driver, which holds vocabulary x (`RANK` + `SKETCH`) numbers.
    A corpus holds few benchmark passages, so its leading directions say little of them: the latent vector of a passage
    has its coordinates in the `RANK` leading directions, and `SKETCH` random projections of what is left of it, which keep
-   cosines within about 1 / sqrt(`SKETCH`). Terms that stand in over `COMMON` of the blocks weigh nothing.
+   cosines within about 1 / sqrt(`SKETCH`). Terms that stand in over `COMMON` of the blocks and of the items weigh
+   nothing, unless an item has no others; all other terms weigh at least `FLOOR`, so a passage that a large part of the
+   corpus holds is found too.
 4. Cosine candidates: every two neighbouring blocks are one search passage (so any `BLOCK` + 1 terms stand in one), which is
    projected and compared with all items of a benchmark block; all pairs of at least `COSINE` are candidates, uncapped.
    A short item beside a long passage is found by the same threshold because terms outside the vocabulary weigh nothing.
@@ -43,7 +45,7 @@ from quillspark.llm.written import Written, written
 ITEMS = 20_000
 BLOCK = 32
 RANK, OVERSAMPLE, SKETCH, SEED = 32, 8, 96, 7
-COMMON = 0.1
+COMMON, FLOOR = 0.1, 1.0
 COSINE = 0.4
 LCS, LCS_ANSWER, ANSWER = 0.8, 0.6, 0.75
 LEAST = 8
@@ -69,6 +71,18 @@ class Items:
                 self.numbers.append(np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in found], np.uint32))
         self.size = len(self.vocabulary) + 1
 
+    def weights(self, df: np.ndarray, n: int) -> np.ndarray:
+        """idf of each term over n blocks, by the rule above."""
+        w = np.maximum(np.log((1 + n) / (1 + df)), FLOOR)
+        held = sum((np.bincount(np.unique(x), minlength=self.size) for x in self.numbers), np.zeros(self.size))
+        common = (df > COMMON * n) & (held > max(COMMON * len(self.ids), 2))
+        for x in self.numbers:
+            if common[x].all():
+                common[x] = False
+        w[common] = 0
+        w[0] = 0
+        return w
+
 
 def _encoded(docs: DataFrame, items: Items, id_column: str, text: str) -> DataFrame:
     """doc_id, row (a number of the row), ids (u32 or u16)."""
@@ -160,11 +174,10 @@ def _project(blocks: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> tuple[
     return _sums(blocks, weights[ids])
 
 
-def latent_space(encoded: DataFrame, size: int, rank: int = RANK, sketch_width: int = SKETCH) -> np.ndarray:
+def latent_space(encoded: DataFrame, items: Items, rank: int = RANK, sketch_width: int = SKETCH) -> np.ndarray:
     """idf-weighted directions (size x (rank + sketch)): a passage's latent vector is the sum of its terms' rows."""
-    df, n = _document_frequency(encoded, size)
-    idf = np.where(df <= max(COMMON * n, 1), np.log((1 + n) / (1 + df)) + 0.05, 0)
-    idf[0] = 0
+    size = items.size
+    idf = items.weights(*_document_frequency(encoded, size))
     width = min(rank + OVERSAMPLE, size)
     start = np.random.default_rng(SEED).standard_normal((size, width))
     first = (start * idf[:, None]).astype(np.float32)
@@ -316,7 +329,7 @@ def contaminations(
         if not items.ids:
             return out
         encoded = Written(_encoded(docs, items, id_column, text), "encoded").df
-        return out.union(_search(encoded, items, latent_space(encoded, items.size), cosine, cuts))
+        return out.union(_search(encoded, items, latent_space(encoded, items), cosine, cuts))
 
     for r in rows.toLocalIterator():  # the stated query set, block by block
         block.append((r["k"], r["t"].encode()))

@@ -65,12 +65,18 @@ def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
     return dense.search(_points(spark, d), _vectors(spark, d), k, digits=DIGITS)
 
 
-def _fused(spark: SparkSession, d: str, k: int = fusion.RRF_K, depth: int = 50) -> DataFrame:
-    return fusion.fuse(_bm25(spark, d, depth), _dense(spark, d, depth), k, digits=9)
+def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The 50 best of both retrievers, kept: several parts of a plan read them (50 rows a query)."""
+    return _bm25(spark, d, 50).persist(), _dense(spark, d, 50).persist()
 
 
-def _reranked(spark: SparkSession, d: str) -> DataFrame:
-    some = _fused(spark, d).where("hybrid_rank <= 30")
+def _fused(spark: SparkSession, d: str, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    both = lists or (_bm25(spark, d, 50), _dense(spark, d, 50))
+    return fusion.fuse(*both, fusion.RRF_K, digits=9)
+
+
+def _reranked(spark: SparkSession, d: str, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    some = _fused(spark, d, lists).where("hybrid_rank <= 30")
     full = some.join(_docs(spark, d).select("uid", "text"), "uid").join(_queries(spark, d), "query_id")  # texts only after top-k
     return rerank.rerank(full, digits=DIGITS)
 
@@ -80,17 +86,18 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
     hit = F.contains("text", F.left("query", F.lit(25)))
     met = _docs(spark, d).select("uid", "text").join(_queries(spark, d), hit)
     grade = F.when(F.contains("text", "query"), 3).when(F.contains("text", F.left("query", F.lit(60))), 2).otherwise(1)
-    return met.select("query_id", "uid", grade.alias("grade"))
+    return met.select("query_id", "uid", grade.alias("grade")).persist()
 
 
 def _systems(spark: SparkSession, d: str) -> DataFrame:
     """system, query_id, position, uid of the best ten of four systems."""
     named = lambda df, s, c: df.where(F.col(c) <= 10).select(F.lit(s).alias("system"), "query_id", F.col(c).alias("position"), "uid")
+    lists = _lists(spark, d)
     return (
-        named(_bm25(spark, d, 50), "bm25", "rank")
-        .union(named(_dense(spark, d, 50), "dense", "rank"))
-        .union(named(_fused(spark, d), "hybrid", "hybrid_rank"))
-        .union(named(_reranked(spark, d), "reranked", "reranked_rank"))
+        named(lists[0], "bm25", "rank")
+        .union(named(lists[1], "dense", "rank"))
+        .union(named(_fused(spark, d, lists), "hybrid", "hybrid_rank"))
+        .union(named(_reranked(spark, d, lists), "reranked", "reranked_rank"))
     )
 
 
@@ -345,7 +352,9 @@ UNION ALL SELECT 'hybrid', query_id, uid, bm25_rank::INT, dense_rank::INT, rrf_s
 def result_projection(spark, d):
     from quillspark.plans.engine import project
 
-    parts = {"bm25": _bm25(spark, d, 10), "dense": _dense(spark, d, 10), "hybrid": _fused(spark, d).where("hybrid_rank <= 10"), "reranked": _reranked(spark, d)}
+    lists = _lists(spark, d)
+    best = [df.where("rank <= 10") for df in lists]
+    parts = {"bm25": best[0], "dense": best[1], "hybrid": _fused(spark, d, lists).where("hybrid_rank <= 10"), "reranked": _reranked(spark, d, lists)}
     keep = ("query_id", "uid", "bm25_rank", "dense_rank", "rrf_score", "hybrid_rank", "cross_encoder_score", "final_rank")
     out = None
     for mode, df in parts.items():
@@ -400,7 +409,7 @@ gm AS (SELECT system AS experiment_id, {', '.join(f'round(avg({m}), 9) AS {m}' f
 
 def _grid_metrics(spark, d) -> DataFrame:
     configs = tuning.grid(spark)
-    swept = tuning.sweep(_bm25(spark, d, 50), _dense(spark, d, 50), configs, digits=9)
+    swept = tuning.sweep(*_lists(spark, d), configs, digits=9)
     ranked = swept.select(F.col("experiment_id").alias("system"), "query_id", F.col("hybrid_rank").alias("position"), "uid")
     rows = evaluation.per_query(ranked, _gold(spark, d), configs.select(F.col("experiment_id").alias("system")))
     return _rounded(evaluation.macro(rows).withColumnRenamed("system", "experiment_id").drop("n_queries"), *evaluation.METRICS)
@@ -426,7 +435,8 @@ def candidate_recall(spark, d):
 @query(f"""WITH {_RERANKED},{_GOLD} SELECT query_id, CASE WHEN count(r.uid) > 0 THEN 'success' WHEN count(f.uid) > 0 THEN 'bad_reranking' ELSE 'missing_candidates' END AS failure_class
 FROM gold LEFT JOIN (SELECT query_id, uid FROM fused WHERE hybrid_rank <= 30) f USING (query_id, uid) LEFT JOIN (SELECT query_id, uid FROM reranked) r USING (query_id, uid) GROUP BY query_id""")
 def failure_classes(spark, d):
-    return tuning.failure_classes(_fused(spark, d).where("hybrid_rank <= 30"), _reranked(spark, d).withColumnRenamed("reranked_rank", "rank"), _gold(spark, d))
+    lists = _lists(spark, d)
+    return tuning.failure_classes(_fused(spark, d, lists).where("hybrid_rank <= 30"), _reranked(spark, d, lists).withColumnRenamed("reranked_rank", "rank"), _gold(spark, d))
 
 
 _FACETS = f"""fq AS (SELECT query_id, [{', '.join(repr(t) for t in gold.TYPES)}][query_id % 7 + 1] AS query_type, [{', '.join(repr(t) for t in gold.DIFFICULTIES)}][query_id % 3 + 1] AS difficulty,

@@ -234,6 +234,9 @@ def test_integrity(spark):
 def test_verdicts(spark):
     found = claims.claims(spark.createDataFrame([("q", "One thing here [E1]. Another thing here. Third thing here [E2].")], "query_id string, answer string"))
     v = spark.createDataFrame([("q", "C1", "SUPPORTED", "see E1"), ("q", "C9", "PARTIAL", "x"), ("q", "C3", "PARTIAL", "like E1")], "query_id string, claim_id string, status string, reason string")
+    e = spark.createDataFrame([("q", "E1", "one <x>"), ("q", "E2", "two")], "query_id string, evidence_id string, text string")
+    asked = claims.verifier_prompts(found, e).first()
+    assert asked["claim_ids"] == ["C1", "C3"] and "one \\u003cx\\u003e" in asked["prompt"]
     assert rows(claims.verdict_errors(found, v), "claim_id", "error") == [("C3", "reason names other evidence"), ("C9", "unexpected")]
     assert rows(claims.assemble(found, v), "claim_id", "status") == [("C1", "SUPPORTED"), ("C2", "UNSUPPORTED"), ("C3", "PARTIAL")]
     assert tuple(claims.summary(claims.assemble(found, v)).first()) == ("q", 1, 1, 1, 3)
@@ -288,3 +291,15 @@ def test_gold(spark, tmp_path):
     got = rows(gold.violations(good, store, 2), "query_id", "problem")
     assert ("q1", "provenance differs") in got and {p for i, p in got if i == "q2"} >= {"bad grade", "no label of the best grade", "repeated label", "unknown difficulty", "repeated query"}
     assert "grade 3" in gold.review(good, store.withColumn("text", F.lit("t")))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillspark import cli
+
+    src, store = tmp_path / "in", f"file://{tmp_path}/store"
+    src.mkdir()
+    (src / "a.jsonl").write_text("\n".join(LINES) + "\n")
+    cli.main(["ingest", str(src), store])
+    cli.main(["search", store, "second paragraph", "--mode", "hybrid"])
+    cli.main(["audit", store])
+    assert "Second." in capsys.readouterr().out

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,23 +41,30 @@ def _check(k1: float, b: float) -> None:
         raise ValueError("k1 is positive, b is 0 to 1")
 
 
+#: No token: stands for the document itself, so that one pass over the texts gives postings and lengths of all documents.
+_DOCUMENT = ""
+
+
 def tokenized(docs: DataFrame, stable: bool = False) -> DataFrame:
-    """uid, tokens. stable: texts are NFKC-stable, fold them in the JVM."""
+    """uid, tokens, length. stable: texts are NFKC-stable, fold them in the JVM."""
     folded = text.latin_fold(F.col("text")) if stable else text.fold(F.col("text"))
-    return docs.select("uid", text.tokens(F.coalesce(folded, F.lit(""))).alias("tokens"))
+    return docs.select("uid", text.tokens(F.coalesce(folded, F.lit(""))).alias("tokens")).withColumn("length", F.size("tokens"))
 
 
 def _counted(worded: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """uid, token, tf, length; only: a table of tokens to keep, joined before anything is counted."""
-    each = worded.select("uid", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    """uid, token, tf, length, and a row with token _DOCUMENT for each document; only: a table of tokens to keep, joined before
+    anything is counted or shuffled. explode_outer: for explode, Spark would evaluate the tokens once more to filter by them.
+    """
+    each = worded.select("uid", "length", F.explode_outer(F.concat("tokens", F.array(F.lit(_DOCUMENT)))).alias("token"))
     if only is not None:
-        each = each.join(only, "token")
+        each = each.join(only.union(only.sparkSession.createDataFrame([(_DOCUMENT,)], "token string")), "token")
     return each.groupBy("uid", "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def _corpus_stats(worded: DataFrame) -> DataFrame:
-    """A2: documents without tokens count too."""
-    return worded.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+def _index(counted: DataFrame, k1: float, b: float) -> Index:
+    corpus = counted.where(F.col("token") == _DOCUMENT).agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))  # A2
+    postings = counted.where(F.col("token") != _DOCUMENT)
+    return Index(postings, _term_stats(postings, corpus), corpus, k1, b)
 
 
 def _term_stats(postings: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -67,9 +75,7 @@ def _term_stats(postings: DataFrame, corpus: DataFrame) -> DataFrame:
 def build(docs: DataFrame, k1: float = K1, b: float = B, stable: bool = False) -> Index:
     """The whole index of a table with uid and text."""
     _check(k1, b)
-    worded = tokenized(docs, stable)
-    postings, corpus = _counted(worded), _corpus_stats(worded)
-    return Index(postings, _term_stats(postings, corpus), corpus, k1, b)
+    return _index(_counted(tokenized(docs, stable)), k1, b)
 
 
 def query_terms(queries: DataFrame, stable: bool = False) -> DataFrame:
@@ -81,9 +87,8 @@ def query_terms(queries: DataFrame, stable: bool = False) -> DataFrame:
 def index_for(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, stable: bool = False) -> Index:
     """What of the index a batch of queries needs, straight from the documents: only the queries' tokens are counted."""
     _check(k1, b)
-    worded = tokenized(docs, stable)
-    postings, corpus = _counted(worded, terms.select("token").distinct()), _corpus_stats(worded)
-    return Index(postings, _term_stats(postings, corpus), corpus, k1, b)
+    counted = _counted(tokenized(docs, stable), terms.select("token").distinct())
+    return _index(counted.persist(StorageLevel.MEMORY_AND_DISK), k1, b)  # read for postings, frequencies and lengths
 
 
 def scores(index: Index, terms: DataFrame, eligible: DataFrame | None = None) -> DataFrame:

@@ -58,7 +58,12 @@ def selected_grams(seq: DataFrame) -> DataFrame:
 def deleted_lines(seq: DataFrame) -> DataFrame:
     """__ord, __sig, line: the numbers of lines to delete (a line may come several times)."""
     grams = selected_grams(seq)
-    first = grams.groupBy("g").agg(F.min(F.struct("__ord", "__sig", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f")
+    # Written, so that the join below deals both sides out itself: Spark can then split a gram that a large part of all
+    # documents has, which it can't where an aggregate stands between exchange and join.
+    first = written(
+        grams.groupBy("g").agg(F.min(F.struct("__ord", "__sig", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f"),
+        "holders",
+    )
     met = grams.join(first, "g").where(F.struct("__ord", "__sig", "i") != F.col("f"))
     diagonals = met.select(
         "__ord", "__sig", F.col("f.__ord").alias("a_ord"), F.col("f.__sig").alias("a_sig"), (F.col("i") - F.col("f.i")).alias("d")

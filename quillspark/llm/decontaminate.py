@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.words import slices, texts
 from quillspark.llm.written import Written, written
 
-ITEMS = 20_000
+ITEMS = 5_000
 BLOCK = 32
 RANK, OVERSAMPLE, SKETCH, SEED = 32, 8, 96, 7
 COMMON, FLOOR = 0.1, 1.0

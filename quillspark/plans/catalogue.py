@@ -455,7 +455,7 @@ def system_deltas(spark, d):
     return _rounded(tuning.deltas(evaluation.macro(_per_query(spark, d)), "bm25"), *evaluation.METRICS)
 
 
-@query("""SELECT lang, count(*) AS n, min(length(text)) AS min_length, median(length(text)) AS median_length, quantile_disc(length(text), 0.95) AS p95_length, max(length(text)) AS max_length FROM documents GROUP BY lang""")
+@query("""SELECT lang, count(*) AS n, min(length(text))::INT AS min_length, median(length(text)) AS median_length, quantile_disc(length(text), 0.95) AS p95_length, max(length(text))::INT AS max_length FROM documents GROUP BY lang""")
 def length_stats(spark, d):
     return tuning.length_stats(table(spark, d, "documents"), ("lang",))
 

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.written import written
+
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 6000
 END = "\r\n\r\n"
@@ -53,6 +55,9 @@ def decide(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
         .where("n > 1")
         .select(F.col("digest").alias("shared_digest"), "head")
     )
+    # Written first: Spark knows its size and broadcasts it only below spark.sql.autoBroadcastJoinThreshold; beyond, both
+    # sides of the join are dealt out by it, so it can split a payload that a large part of all pages share.
+    shared = written(shared, "payloads")
     joined = pages.join(shared, (F.col("digest") == F.col("shared_digest")) & (F.col("size") >= revisit_bytes), "left")
     revisit = F.col("head").isNotNull() & ~F.col("head").eqNullSafe(F.col("page_id"))
     return joined.withColumn("kind", F.when(revisit, "revisit").otherwise("response")).withColumn(

@@ -22,16 +22,15 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both(edges)
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+def _large_star(both: DataFrame, least: DataFrame) -> DataFrame:
+    """Larger neighbours of each node point to the least of its neighbourhood."""
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """edges with u > v: smaller neighbours and the node itself point to the least."""
-    m = _least(edges)
-    moved = edges.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(m.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
 def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -40,8 +39,15 @@ def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     kept = Written(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
-        last, kept = kept, Written(_small_star(_large_star(kept.df)), "edges")
-        last.drop()
+        # Minima are written, so that no aggregate stands between an exchange and a join: Spark can then split a hub.
+        both = _both(kept.df)
+        first = Written(_least(both), "least")
+        large = Written(_large_star(both, first.df), "edges")
+        second = Written(_least(large.df), "least")
+        small = Written(_small_star(large.df, second.df), "edges")
+        for done in (kept, first, large, second):
+            done.drop()
+        kept = small
         now = tuple(kept.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

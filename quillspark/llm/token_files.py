@@ -42,7 +42,7 @@ MAGIC = b"TOKPLN01"
 FOOTER = struct.Struct("<QIQQIIBBQ8s")
 BLOCK_IDS = 1 << 16
 NO_ID = -(2**63)
-LEVEL = 3
+LEVEL = 1
 
 
 def to_planes(ids: np.ndarray, bits: int, planes: int) -> list[bytes]:

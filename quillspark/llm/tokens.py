@@ -114,10 +114,10 @@ class Encoder:
         out, get, unit = [], self.units.get, self._unit
         for text in texts:
             plain = not _RARE.search(text)
-            if plain and not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "):
-                first, *rest = text.split(" ")
-            else:
-                first, *rest = _CUT.split(text)
+            rest = text.split(" ")
+            if not plain or " \n" in text or "\n " in text or "" in rest and text:  # white space beside a space
+                rest = _CUT.split(text)
+            first = rest.pop(0)
             found = list(map(get, rest))
             if None in found:
                 found = [unit(u, plain) if x is None else x for u, x in zip(rest, found, strict=True)]

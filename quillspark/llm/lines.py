@@ -1,16 +1,14 @@
-"""Line dedup by winnowing over line hashes, in built-in functions only.
+"""Line dedup over line hashes, in built-in functions only.
 
 A document's sequence are its non-blank lines (cut at line feeds, trimmed of spaces, tabs and carriage returns), each a
 64-bit hash. Documents are ordered by id.
-* Grams of `GRAM` consecutive lines are hashed; of each `WINNOW` consecutive grams the least is selected (the rightmost
-  of equal ones). Any run of GRAM + WINNOW - 1 lines that stands in two places has a selected gram in common.
-* Positions are joined: each selected gram with its first holder, the smallest (id, position). First holders are
-  aggregated before the shuffle, and each later place meets one holder, so a line that all documents have gives no pairs.
-* A match is extended both ways along its diagonal: the two documents' hashes are compared line by line, and every run
-  of at least GRAM equal lines is taken.
-* Lines in such runs are deleted from the later place. Places are judged on the input.
-So what is deleted always stands earlier, and of a run of GRAM + WINNOW - 1 or more lines that the first holder of its
-grams has, nothing stays.
+* A passage is a line (`GRAM`) of more than `LONG` words, or any `WINNOW` consecutive lines. Each passage has a fingerprint,
+  the hashes of its lines; none are thinned out, since a passage would then be searched for only where it is selected.
+* Each passage is joined with its own first holder, the smallest (id, position). First holders are aggregated before the
+  shuffle, and each later place meets one holder, so a line that all documents have gives no pairs.
+* Lines of passages that have an earlier place are deleted. Places are judged on the input.
+So what is deleted always stands earlier, and nothing stays of a line of more than `LONG` words that stands earlier, or of a
+run of `WINNOW` or more lines that stands earlier. A shorter line that is repeated alone stays.
 
 Defined results: null text stays null; texts without non-blank lines are unchanged. Null ids come after all others.
 Rows that agree in id and text are one place: they are all treated as the first of them. Rows with equal ids and different
@@ -25,8 +23,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.written import written
 
-GRAM = 2
+GRAM = 1
 WINNOW = 2
+LONG = 50
 _LAST = (1 << 63) - 1
 
 
@@ -38,49 +37,45 @@ def _trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
 
 
+def _is_long(line: Column) -> Column:
+    """More than LONG words; the lengths of most lines tell that they have fewer."""
+    words = F.size(F.split(F.trim(line, F.lit(" \t\x0b\f\r")), "[ \t\x0b\f\r]+"))
+    return F.when(F.length(line) > 2 * LONG, words > LONG).otherwise(False)
+
+
 def line_sequences(docs: DataFrame) -> DataFrame:
-    """__ord, __sig, h (hashes of the non-blank lines), at (their line numbers), a row for each place."""
+    """__ord, __sig, h (hashes of the non-blank lines), at (their line numbers), long (of more than LONG words), a row for
+    each place that has a passage."""
     every = F.transform(_lines(F.col("t")), lambda line, i: F.struct(i.cast("int").alias("i"), _trimmed(line).alias("line")))
     full = F.filter(every, lambda x: x["line"] != "")
-    seq = docs.select("__ord", "__sig", F.transform(full, lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), x["i"].alias("i"))).alias("s"))
-    return seq.where(F.size("s") >= GRAM).select("__ord", "__sig", F.col("s.h").alias("h"), F.col("s.i").alias("at")).dropDuplicates(["__ord", "__sig"])
+    one = lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), x["i"].alias("i"), _is_long(x["line"]).alias("long"))
+    seq = docs.select("__ord", "__sig", F.transform(full, one).alias("s"))
+    some = seq.where((F.size("s") >= WINNOW) | F.exists("s", lambda x: x["long"]))
+    return some.select("__ord", "__sig", F.col("s.h").alias("h"), F.col("s.i").alias("at"), F.col("s.long").alias("long")).dropDuplicates(["__ord", "__sig"])
+
 
+def passages(seq: DataFrame) -> DataFrame:
+    """__ord, __sig, g, lines: the fingerprints (the hashes themselves) and line numbers of the passages."""
 
-def selected_grams(seq: DataFrame) -> DataFrame:
-    """__ord, __sig, g, i: the winnowed grams and their positions."""
-    n = F.size("h") - GRAM + 1
-    grams = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, GRAM)).alias("g"), (-i).alias("p")))
-    least = F.transform(F.sequence(F.lit(0), F.greatest(F.size("grams") - WINNOW, F.lit(0))), lambda s: F.array_min(F.slice("grams", s + 1, WINNOW)))
-    chosen = seq.select("__ord", "__sig", grams.alias("grams")).select("__ord", "__sig", F.explode(F.array_distinct(least)).alias("e"))
-    return chosen.select("__ord", "__sig", F.col("e.g").alias("g"), (-F.col("e.p")).alias("i"))
+    def grams(n: int) -> Column:
+        starts = F.when(F.size("h") >= n, F.sequence(F.lit(1), F.size("h") - n + 1)).otherwise(F.array().cast("array<int>"))
+        if n == GRAM:
+            starts = F.filter(starts, lambda i: F.element_at("long", i))
+        return F.transform(starts, lambda i: F.struct(F.slice("h", i, n).alias("g"), F.slice("at", i, n).alias("lines")))
+
+    every = seq.select("__ord", "__sig", F.explode(F.concat(grams(GRAM), grams(WINNOW))).alias("e"))
+    return every.select("__ord", "__sig", "e.g", "e.lines")
 
 
 def deleted_lines(seq: DataFrame) -> DataFrame:
     """__ord, __sig, line: the numbers of lines to delete (a line may come several times)."""
-    grams = selected_grams(seq)
-    # Written, so that the join below deals both sides out itself: Spark can then split a gram that a large part of all
+    every = passages(seq)
+    # Written, so that the join below deals both sides out itself: Spark can then split a passage that a large part of all
     # documents has, which it can't where an aggregate stands between exchange and join.
-    first = written(
-        grams.groupBy("g").agg(F.min(F.struct("__ord", "__sig", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f"),
-        "holders",
-    )
-    met = grams.join(first, "g").where(F.struct("__ord", "__sig", "i") != F.col("f"))
-    diagonals = met.select(
-        "__ord", "__sig", F.col("f.__ord").alias("a_ord"), F.col("f.__sig").alias("a_sig"), (F.col("i") - F.col("f.i")).alias("d")
-    ).distinct()
-    holders = seq.select(F.col("__ord").alias("a_ord"), F.col("__sig").alias("a_sig"), F.col("h").alias("a"))
-    both = diagonals.join(seq, ["__ord", "__sig"]).join(holders, ["a_ord", "a_sig"])
-    low = F.greatest(F.lit(0), F.col("d"))
-    length = F.least(F.size("h"), F.size("a") + F.col("d")) - low
-    same = F.zip_with(F.slice("h", low + 1, length), F.slice("a", low - F.col("d") + 1, length), lambda x, y: x == y)
-    spread = both.select("__ord", "__sig", "at", low.alias("low"), same.alias("same"))
-
-    def in_run(j: Column) -> Column:
-        starts = F.sequence(F.greatest(j - (GRAM - 1), F.lit(0)), j)
-        return F.exists(starts, lambda s: (s + GRAM <= F.size("same")) & F.forall(F.slice("same", s + 1, GRAM), lambda x: x))
-
-    hits = F.filter(F.sequence(F.lit(0), F.size("same") - 1), in_run)
-    return spread.select("__ord", "__sig", F.explode(F.transform(hits, lambda j: F.element_at("at", F.col("low") + j + 1))).alias("line"))
+    place = F.struct("__ord", "__sig", F.element_at("lines", 1).alias("line"))
+    first = written(every.groupBy("g").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f"), "holders")
+    met = every.join(first, "g").where(place != F.col("f"))
+    return met.select("__ord", "__sig", F.explode("lines").alias("line"))
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -85,3 +85,32 @@ def test_odd_rows(spark, odd, empty):
     assert lines.dedup_lines(empty).count() == 0
     with pytest.raises(ValueError):
         lines.dedup_lines(df.withColumnRenamed("lang", "n_lines"))
+
+
+def test_every_repeated_passage_goes(spark, documents):
+    """Exactly the lines of more than LONG words and of runs of two that stand earlier, whatever holds their parts first."""
+    df, rows = documents
+    long = " ".join(f"w{i}" for i in range(lines.LONG + 1))
+    short = long.rsplit(" ", 1)[0]
+    extra = [
+        (10**9, f"a1\n{long}\n{short}"), (10**9 + 1, long), (10**9 + 2, f"b1\n {long}\r\nb2"), (10**9 + 3, short),
+        (10**9 + 4, "p\nq"), (10**9 + 5, "q\nr\ns"), (10**9 + 6, "p\nq\nr\nt"), (10**9 + 7, "r\nt\nu\nv\nu\nv\nv\nv"),
+    ]
+    rows = rows + extra
+    seen, want = set(), {}
+    for d, t in rows:  # oldest first
+        full = [(i, x.strip(" \t\r")) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r")]
+        gone = set()
+        for n in (1, 2):
+            for k in range(len(full) - n + 1):
+                gram = tuple(x for _, x in full[k : k + n])
+                if n == 2 or len(gram[0].split()) > lines.LONG:
+                    if gram in seen:
+                        gone |= {i for i, _ in full[k : k + n]}
+                    seen.add(gram)
+        kept = [x for i, x in enumerate((t or "").split("\n")) if i not in gone]
+        want[d] = ("\n".join(kept) if any(x.strip(" \t\r") for x in kept) else "", len(gone)) if gone else (t, 0)
+    more = spark.createDataFrame(extra, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(df.select("doc_id", "text").union(more)).collect()}
+    assert got == want
+    assert want[10**9 + 1] == ("", 1) and want[10**9 + 2][1] == 1 and want[10**9 + 6] == ("t", 3)

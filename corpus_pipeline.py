@@ -1,4 +1,4 @@
-"""Pipeline over documents: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+"""Pipeline over documents: quality rules, line dedup, near-dedup, benchmark decontamination, packing.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of documents.
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.deploy import shared_dir, ship, table
-from quillspark.llm import decontaminate, lines, packing, quality, simhash, tokens
+from quillspark.llm import decontaminate, lines, near_copies, packing, quality, tokens
 from quillspark.llm.written import Written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,9 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of documents with 5-word Jaccard similarity of 0.8 or more the one with the smallest id."""
     ship(spark)
-    heads = simhash.group_heads(docs)
+    heads = near_copies.group_heads(docs)
     return heads.select(*COLUMNS)
 
 

@@ -1,0 +1,143 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands find pairs, exact Jaccard decides.
+
+`group_heads(docs)`: of each group the document with the smallest id. Two documents are linked if their sets of shingles of
+`SHINGLE` words (A-Z lower-cased, words between 0x20 and 0x09-0x0D; fewer words: the whole sequence as one) have a Jaccard
+similarity of `SIMILAR` or more; groups are the connected components of the links.
+* Shingles are 64-bit hashes. Documents with equal sets are one node, so copies never meet in a comparison; those without
+  words are copies of each other.
+* Candidates: `BANDS` bands of `ROWS` minima. Nodes that share all minima of a band share a bucket. A pair of similarity s
+  shares none with probability (1 - s ** ROWS) ** BANDS: 5e-6 at 0.8, less above.
+* First each member of a bucket is compared with the bucket's smallest node, which takes one pair a member however large
+  the bucket. Then all pairs of a bucket whose groups still differ are compared. So pairs are left out only where a group
+  links them already, or their sizes can't reach `SIMILAR`.
+* Sets are made anew for the nodes that share a bucket, and intersected in the JVM.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.llm.components import components
+from quillspark.llm.words import gram_hashes, hashes, mix, slices, texts
+from quillspark.llm.written import written
+
+SHINGLE = 5
+SIMILAR = Fraction(4, 5)
+ROWS, BANDS = 6, 40
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.random.default_rng(12).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles that are multiplied at once.
+_CHUNK = 4096
+
+
+def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles, sorted."""
+    words = hashes(text.lower().split())  # of bytes: A-Z only
+    return np.unique(gram_hashes(words, min(n, len(words)))) if len(words) else np.zeros(0, np.uint64)
+
+
+def bands(shingled: np.ndarray) -> np.ndarray:
+    """A key for each band."""
+    if not len(shingled):
+        return np.zeros(0, np.uint64)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingled), _CHUNK):
+        least = np.minimum(least, np.multiply.outer(_FACTORS, shingled[k : k + _CHUNK]).min(axis=1))
+    return mix((mix(least).reshape(BANDS, ROWS) * _PLACES).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def _banded(keyed: DataFrame, text: str) -> DataFrame:
+    """__ord, __sig, node (a hash of the set), n (its size), keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingles(t) for t in texts(b, "t")]
+            nodes = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+            keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), sizes, keys], ["__ord", "__sig", "node", "n", "keys"])
+
+    rows = keyed.select("__ord", "__sig", keyed[text].cast("string").alias("t"))
+    return rows.mapInArrow(run, "__ord long, __sig long, node long, n long, keys array<long>")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """node, s (its shingles) of node, t."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = pa.array([shingles(t).view(np.int64) for t in texts(b, "t")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "s"])
+
+    return rows.select("node", "t").mapInArrow(run, "node long, s array<long>")
+
+
+def _can_reach(n: Column, m: Column) -> Column:
+    """The Jaccard similarity of sets of these sizes can be SIMILAR."""
+    return F.least(n, m) * SIMILAR.denominator >= F.greatest(n, m) * SIMILAR.numerator
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs u, v whose Jaccard similarity is SIMILAR or more."""
+    a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
+    both = pairs.join(a, "u").join(b, "v").select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("k"))
+    return both.where(F.col("k") * SIMILAR.denominator >= (F.col("n") - F.col("k")) * SIMILAR.numerator).select("u", "v")
+
+
+def links(nodes: DataFrame, sets_of) -> DataFrame:
+    """Edges u, v among nodes (node, n, keys) whose components are those of all links. `sets_of` gives node, s of a table of
+    nodes."""
+    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
+    # Written, as all that is joined below: Spark can then broadcast what is small and split a bucket that is hot.
+    heads = written(
+        rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head"), "buckets"
+    )
+    members = written(rows.join(heads, "key"), "bucket-members")
+    sets = written(sets_of(members.select("node").distinct()), "shingles")
+    first = members.where((F.col("node") != F.col("head.node")) & _can_reach(F.col("n"), F.col("head.n")))
+    stars = written(_verified(first.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), sets), "stars")
+    groups = written(components(stars), "groups")
+    grouped = members.select("key", "node", "n").join(groups, "node", "left")
+    grouped = written(grouped.select("key", "node", "n", F.coalesce("component", "node").alias("g")), "grouped")
+    main = grouped.groupBy("key").agg(F.mode("g").alias("main"), F.min("g").alias("low"), F.max("g").alias("high"))
+    main = written(main.where("low != high").select("key", "main"), "mixed")
+    mixed = written(grouped.join(main, "key"), "mixed-members")
+    a, b = mixed.where("g != main").alias("a"), mixed.alias("b")
+    met = a.join(b, F.col("a.key") == F.col("b.key")).where(
+        (F.col("a.g") != F.col("b.g")) & ((F.col("b.g") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & _can_reach(F.col("a.n"), F.col("b.n"))
+    )
+    pairs = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+    return stars.union(written(_verified(pairs, sets), "crossed"))
+
+
+def group_heads(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies, all columns: that with the smallest id (null ids last), then the smallest hash
+    of its text; of rows that agree in both, one."""
+    key = [F.coalesce(docs[id_column].cast("long"), F.lit((1 << 63) - 1)).alias("__ord"), F.xxhash64(docs[text].cast("string")).alias("__sig")]
+    keyed = docs.select("*", *key)
+    every = written(_banded(keyed, text), "bands")
+    nodes = written(every.groupBy("node").agg(F.min(F.struct("__ord", "__sig")).alias("p"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        places = written(nodes.join(some, "node").select("p.__ord", "p.__sig", "node"), "places")
+        t = docs[text].cast("string").alias("t")
+        return _sets(docs.select(*key, t).join(places, ["__ord", "__sig"])).dropDuplicates(["node"])
+
+    found = components(links(nodes, sets_of))
+    roots = nodes.join(found, "node", "left").select("node", "p", F.coalesce("component", "node").alias("root"))
+    roots = written(roots, "roots")
+    heads = written(roots.groupBy("root").agg(F.min("p").alias("head")), "heads")
+    head_of = written(roots.join(heads, "root").select("node", "head"), "head-of")
+    of = every.groupBy("__ord", "__sig", "node").count().join(head_of, "node")
+    lost = of.withColumn("gone", F.struct("__ord", "__sig") != F.col("head")).where("gone or count > 1")
+    judged = keyed.join(written(lost.select("__ord", "__sig", "gone"), "lost"), ["__ord", "__sig"], "left")
+    alone = judged.where("gone is null").select(*docs.columns)
+    tied = judged.where("not gone").dropDuplicates(["__ord", "__sig"]).select(*docs.columns)
+    return alone.union(tied)

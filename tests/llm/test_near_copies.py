@@ -1,0 +1,62 @@
+import random
+
+import corpus_pipeline
+from quillspark.llm import near_copies
+
+
+def brute_heads(rows):
+    """The smallest id of each component of 5-word Jaccard 0.8 or more, by comparing all pairs."""
+    sets = []
+    for d, t in rows:
+        w = (t or "").lower().split(" ")
+        sets.append((d, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}))
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    return sorted({find(d) for d, _ in rows})
+
+
+def planted(seed):
+    """Texts with few to many changed words, chains of changes, copies, and texts that share a passage."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(5000)}"
+    bases = [[word() for _ in range(rng.randint(60, 300))] for _ in range(12)]
+    shared = [word() for _ in range(60)]
+    rows = [list(b) for b in bases]
+    for b in bases:
+        for share in (0.005, 0.01, 0.02, 0.025, 0.03, 0.05, 0.2):
+            rows.append([word() if rng.random() < share else w for w in b])
+        last = b
+        for _ in range(4):
+            last = [word() if rng.random() < 0.015 else w for w in last]
+            rows.append(last)
+        rows.append(list(b))
+        rows.append(shared + [word() for _ in range(40)])
+    rng.shuffle(rows)
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_near_copies_of_the_stage(spark):
+    rows = planted(5)
+    want = brute_heads(rows)
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in got) == want
+    assert len(want) < len(rows) - 60
+
+
+def test_odd_rows(spark, odd, empty):
+    df, rows = odd
+    heads = near_copies.group_heads(df).collect()
+    assert sorted(r["doc_id"] for r in heads) == [1, 2, 4, 7, 8, 9, 9]
+    assert near_copies.group_heads(empty).count() == 0
+    assert near_copies.group_heads(empty).columns == empty.columns

@@ -14,7 +14,10 @@
    corpus holds is found too.
 4. Cosine candidates: every two neighbouring blocks are one search passage (so any `BLOCK` + 1 terms stand in one), which is
    projected and compared with all items of a benchmark block; all pairs of at least `COSINE` are candidates, uncapped.
-   A short item beside a long passage is found by the same threshold because terms outside the vocabulary weigh nothing.
+   That loses items that are much longer or shorter than a passage, and a few by the noise of the projections, so beside it
+   an exact way finds all that the checks below could accept: a stretch of an item's length in which `LCS_ANSWER` of the
+   item's terms stand. Of each item the commonest terms are left out, fewer than may be missing, and runs of blocks that hold
+   as many of the others as must be there are candidates too. So no verdict depends on a cosine.
 5. Checks on the terms themselves, around the candidate passage: the longest common subsequence with the item, in a stretch
    not much longer than the item, must reach `LCS` of the item's terms; or `LCS_ANSWER`, if the item's answer (its last
    quarter, where a question's answer stands) is found to `ANSWER` too. So inserted, dropped and exchanged terms are
@@ -51,6 +54,8 @@ LCS, LCS_ANSWER, ANSWER = 0.8, 0.6, 0.75
 LEAST = 8
 #: Terms of one slice of a document, a multiple of BLOCK.
 SLICE = 1 << 17
+#: Blocks times items that are counted at once.
+CELLS = 1 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -174,10 +179,11 @@ def _project(blocks: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> tuple[
     return _sums(blocks, weights[ids])
 
 
-def latent_space(encoded: DataFrame, items: Items, rank: int = RANK, sketch_width: int = SKETCH) -> np.ndarray:
-    """idf-weighted directions (size x (rank + sketch)): a passage's latent vector is the sum of its terms' rows."""
+def latent_space(encoded: DataFrame, items: Items, counted: tuple[np.ndarray, int], rank: int = RANK, sketch_width: int = SKETCH) -> np.ndarray:
+    """idf-weighted directions (size x (rank + sketch)): a passage's latent vector is the sum of its terms' rows. `counted`
+    is the document frequency."""
     size = items.size
-    idf = items.weights(*_document_frequency(encoded, size))
+    idf = items.weights(*counted)
     width = min(rank + OVERSAMPLE, size)
     start = np.random.default_rng(SEED).standard_normal((size, width))
     first = (start * idf[:, None]).astype(np.float32)
@@ -234,7 +240,7 @@ def lcs_length(table: dict[int, int], n: int, other: list[int]) -> int:
 def best_stretch(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """(length, from, to) of the best common subsequence within stretches of 1.5 items and 8 terms of doc[low:high]."""
     n, table = len(item), lcs_table(item)
-    reach = n + n // 2 + 8
+    reach = _reach(n)
     best = (0, low, low)
     step = max(1, n // 4)
     for at in range(low, max(low + 1, high - n // 2), step):
@@ -247,14 +253,69 @@ def best_stretch(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tupl
     return best
 
 
-def _search(encoded: DataFrame, items: Items, space: np.ndarray, cosine: float, cuts: tuple[float, float, float]) -> DataFrame:
+def _reach(n: int) -> int:
+    """Terms of a stretch that is searched for an item of n terms."""
+    return n + n // 2 + 8
+
+
+class Holders:
+    """Which items hold a term, for the runs of blocks that may hold `share` of an item's terms."""
+
+    def __init__(self, numbers: list[np.ndarray], frequency: np.ndarray, share: float):
+        terms, owners, times, need = [], [], [], []
+        for k, x in enumerate(numbers):
+            must = max(1, int(np.ceil(share * len(x) - 1e-9)))
+            left_out = (len(x) - must) * 3 // 4
+            own, n = np.unique(x[np.argsort(frequency[x], kind="stable")[: len(x) - left_out]], return_counts=True)
+            need.append(max(1, must - left_out))
+            terms.append(own)
+            owners.append(np.full(len(own), k))
+            times.append(n)
+        order = np.argsort(np.concatenate(terms), kind="stable")
+        self.owner, self.times = np.concatenate(owners)[order], np.concatenate(times)[order].astype(np.float64)
+        self.first = np.searchsorted(np.concatenate(terms)[order], np.arange(len(frequency) + 1))
+        self.need = np.array(need, np.float64)
+        #: Blocks that hold any stretch of an item's reach.
+        self.width = np.array([(_reach(len(x)) + BLOCK - 2) // BLOCK + 1 for x in numbers])
+
+    def runs(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(document, first block, item): the runs of `width` blocks that hold enough of an item."""
+        begin = np.cumsum([0, *(-(-len(d) // BLOCK) for d in docs)])
+        size, k, total = len(self.first) - 1, len(self.need), int(begin[-1])
+        where = [np.flatnonzero(d) for d in docs]
+        if not total or not sum(map(len, where)):
+            return
+        key = np.unique(np.concatenate([(w // BLOCK + b) * size + d[w] for d, w, b in zip(docs, where, begin[:-1].tolist(), strict=True)]))
+        block, term = key // size, key % size
+        end = np.repeat(begin[1:], np.diff(begin))
+        widest = int(self.width.max())
+        step = max(2 * widest, CELLS // k)
+        for b in range(0, total, step):
+            rows = min(total, b + step + widest) - b
+            s, e = np.searchsorted(block, [b, b + rows])
+            n = self.first[term[s:e] + 1] - self.first[term[s:e]]
+            at = np.repeat(self.first[term[s:e]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            held = np.bincount(np.repeat(block[s:e] - b, n) * k + self.owner[at], self.times[at], rows * k).reshape(rows, k)
+            sums = np.vstack([np.zeros((1, k)), np.cumsum(held, axis=0)])
+            starts = np.arange(min(step, rows))
+            for width in np.unique(self.width).tolist():
+                own = np.flatnonzero(self.width == width)
+                to = np.minimum(np.minimum(starts + width, end[b + starts] - b), rows)
+                enough = sums[to][:, own] - sums[starts][:, own] >= self.need[own]
+                for i, j in zip(*np.nonzero(enough), strict=True):
+                    doc = int(np.searchsorted(begin, b + i, "right")) - 1
+                    yield doc, int(b + i - begin[doc]), int(own[j])
+
+
+def _search(encoded: DataFrame, items: Items, space: np.ndarray, frequency: np.ndarray, cosine: float, cuts: tuple[float, float, float]) -> DataFrame:
     size, lcs_cut, lcs_answer, answer_cut = items.size, *cuts
     latent = np.stack([space[x].sum(axis=0) for x in items.numbers])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    held = encoded.sparkSession.sparkContext.broadcast((items.ids, items.numbers, latent.astype(np.float32), space))  # bounded by ITEMS
+    holders = Holders(items.numbers, frequency, lcs_answer)
+    held = encoded.sparkSession.sparkContext.broadcast((items.ids, items.numbers, latent.astype(np.float32), space, holders))  # bounded by ITEMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, numbers, latent, space = held.value
+        ids, numbers, latent, space, holders = held.value
         lengths = np.array([len(x) for x in numbers])
         counts = [np.unique(x, return_counts=True) for x in numbers]
 
@@ -279,33 +340,60 @@ def _search(encoded: DataFrame, items: Items, space: np.ndarray, cosine: float,
                         for a, b in zip(*np.nonzero(cos >= cosine), strict=True):
                             yield i + int(b), at // BLOCK + int(some[a]), float(cos[a, b])
 
-        def found(doc: np.ndarray) -> list[tuple[int, float, float, float]]:
+        def holds(k: int, region: np.ndarray) -> bool:
+            """An upper bound of the subsequence is enough."""
+            own, times = counts[k]
+            at = np.minimum(np.searchsorted(own, region), len(own) - 1)
+            have = np.bincount(at[own[at] == region], minlength=len(own))
+            return np.minimum(have, times).sum() >= lcs_answer * lengths[k]
+
+        def check(k: int, doc: np.ndarray, low: int, high: int) -> tuple[float, float] | None:
+            """Shares of the item and of its answer, if they are enough."""
+            n = int(lengths[k])
+            got, at, to = best_stretch(numbers[k], doc, low, high)
+            share = got / n
+            if share < lcs_answer:
+                return None
+            tail = numbers[k][-max(1, n // 4) :]
+            answer = lcs_length(lcs_table(tail), len(tail), doc[at : to + 8].tolist()) / len(tail)
+            return (share, answer) if share >= lcs_cut or answer >= answer_cut else None
+
+        def nearest(k: int, part: np.ndarray) -> float:
+            """The largest cosine of the passages of some blocks."""
+            where = np.flatnonzero(part)
+            own, sums = _project(where // BLOCK, part[where], space)
+            z = np.zeros((-(-len(part) // BLOCK), space.shape[1]), np.float32)
+            z[own] = sums
+            z = z[:-1] + z[1:] if len(z) > 1 else z
+            return float(np.max(z @ latent[k] / np.maximum(np.linalg.norm(z, axis=1), 1e-12)))
+
+        def found(doc: np.ndarray, runs: list[tuple[int, int]]) -> list[tuple[int, float, float, float]]:
             best: dict[int, tuple[float, float, float]] = {}
+            none = (0.0, 0.0, 0.0)
             for k, block, cos in pairs(doc):
-                if best.get(k, (0.0,))[0] == 1.0:
-                    continue
                 n = int(lengths[k])
                 low, high = max(0, block * BLOCK - n), min(len(doc), (block + 2) * BLOCK + n)
-                region = doc[low:high]
-                own, times = counts[k]
-                at = np.minimum(np.searchsorted(own, region), len(own) - 1)
-                have = np.bincount(at[own[at] == region], minlength=len(own))
-                if np.minimum(have, times).sum() < lcs_answer * n:  # an upper bound of the subsequence
-                    continue
-                got, at, to = best_stretch(numbers[k], doc, low, high)
-                share = got / n
-                if share < lcs_answer:
-                    continue
-                tail = numbers[k][-max(1, n // 4) :]
-                answer = lcs_length(lcs_table(tail), len(tail), doc[at : to + 8].tolist()) / len(tail)
-                if share >= lcs_cut or answer >= answer_cut:
-                    best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (share, answer, cos))
+                if best.get(k, none)[0] < 1.0 and holds(k, doc[low:high]):
+                    got = check(k, doc, low, high)
+                    if got:
+                        best[k] = max(best.get(k, none), (*got, cos))
+            for k, block in runs:
+                n = int(lengths[k])
+                part = doc[block * BLOCK : (block + int(holders.width[k])) * BLOCK]
+                if best.get(k, none)[0] < 1.0 and holds(k, part):
+                    got = check(k, doc, max(0, block * BLOCK - n), min(len(doc), block * BLOCK + len(part) + n))
+                    if got and got > best.get(k, none)[:2]:
+                        best[k] = (*got, nearest(k, part))
             return [(ids[k], cos, share, answer) for k, (share, answer, cos) in best.items()]
 
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         names = ["doc_id", "item_id", "cosine", "lcs", "answer"]
-        for b in slices(batches):
-            rows = [(i, *x) for i, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True) for x in found(_numbers(raw, size))]
+        for b in slices(batches, 256):
+            docs = [_numbers(raw, size) for raw in b.column("ids").to_pylist()]
+            runs: list[list[tuple[int, int]]] = [[] for _ in docs]
+            for d, block, k in holders.runs(docs):
+                runs[d].append((k, block))
+            rows = [(i, *x) for i, doc, own in zip(b.column("doc_id").to_pylist(), docs, runs, strict=True) for x in found(doc, own)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
@@ -329,7 +417,8 @@ def contaminations(
         if not items.ids:
             return out
         encoded = Written(_encoded(docs, items, id_column, text), "encoded").df
-        return out.union(_search(encoded, items, latent_space(encoded, items), cosine, cuts))
+        counted = _document_frequency(encoded, items.size)
+        return out.union(_search(encoded, items, latent_space(encoded, items, counted), counted[0], cosine, cuts))
 
     for r in rows.toLocalIterator():  # the stated query set, block by block
         block.append((r["k"], r["t"].encode()))

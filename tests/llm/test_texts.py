@@ -163,3 +163,19 @@ def test_passage_that_most_documents_hold(spark):
     docs = [(d, " ".join([rng.choice(pool) for _ in range(80)] + (items[0][1].split() if d % 2 else []) + [rng.choice(pool) for _ in range(80)])) for d in range(200)]
     got = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(d, 0) for d in range(1, 200, 2)]
+
+
+def test_verbatim_items_of_any_length(spark):
+    """Items much shorter or longer than a passage, among words of the benchmark's own vocabulary."""
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(4000)]
+    lengths = [n for n in (8, 9, 12, 15, 30, 64, 200, 900, 1500, 2500) for _ in range(12)]
+    items = [(k, " ".join(rng.choice(pool) for _ in range(n))) for k, n in enumerate(lengths)]
+    docs = []
+    for k, text in items:
+        a, b = ([rng.choice(pool) for _ in range(rng.randint(40, 300))] for _ in range(2))
+        docs.append((k, " ".join([*a, *text.split(), *b])))
+    got = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {(r["doc_id"], r["item_id"]): r["lcs"] for r in got.collect()}
+    lost = Counter(n for k, n in enumerate(lengths) if rows.get((k, k)) != 1.0)
+    assert not lost and set(rows) == {(k, k) for k in range(len(lengths))}

@@ -11,9 +11,9 @@ A file (all integers little-endian):
             u32 ids a block, u8 bits a plane (1 or 8), u8 planes, u64 ids, b"TOKPLN01"
 
 A chunk is one block of `block_ids` ids (the last of a file may be shorter), so a reader seeks to any id by the chunk
-index. Only the planes that the file's largest id needs are stored. Files are written under a name of their own and then
-renamed, so a task that is lost or runs twice leaves no half file under a final name; what counts is the manifest that
-the write returns.
+index. `planes` planes are stored (two byte planes by default, for ids below 65,536); an id that needs more raises
+ValueError, so nothing is lost. Files are written under a name of their own and then renamed, so a task that is lost or
+runs twice leaves no half file under a final name; what counts is the manifest that the write returns.
 
 `write_token_files(docs, path)`: range-partitions by id, sorts, encodes and writes; returns a manifest (a row for each
 file). Documents with equal ids stand side by side, in the order of their texts; null ids come first. Null and empty

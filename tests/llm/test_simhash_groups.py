@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from quillspark.llm import near_copies
+from quillspark.llm import bitslices, simhash_groups
 
 
 def brute_heads(rows):
@@ -56,7 +58,37 @@ def test_near_copies_of_the_stage(spark):
 
 def test_odd_rows(spark, odd, empty):
     df, rows = odd
-    heads = near_copies.group_heads(df).collect()
+    heads = simhash_groups.group_heads(df).collect()
     assert sorted(r["doc_id"] for r in heads) == [1, 2, 4, 7, 8, 9, 9]
-    assert near_copies.group_heads(empty).count() == 0
-    assert near_copies.group_heads(empty).columns == empty.columns
+    assert simhash_groups.group_heads(empty).count() == 0
+    assert simhash_groups.group_heads(empty).columns == empty.columns
+
+
+def test_bit_slices():
+    """All pairs within the radius, and no others, whatever fills the lanes."""
+    rng = np.random.default_rng(1)
+    for members, words, levels in ((1, 2, 5), (63, 2, 5), (64, 1, 1), (300, 2, 5), (200, 1, 2), (129, 1, 5), (300, 3, 4)):
+        fps = rng.integers(0, 1 << 63, (members, words), dtype=np.uint64) * np.uint64(2)
+        for k in range(members // 2):
+            fps[members - 1 - k] = fps[k]
+            for _ in range(rng.integers(0, 60)):
+                fps[members - 1 - k, rng.integers(words)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+        got = {(i, j) for a, b in bitslices.near_pairs(fps, levels, 100) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        ints = [sum(int(x) << 64 * k for k, x in enumerate(row)) for row in fps]
+        assert got == {(i, j) for j in range(members) for i in range(j) if (ints[i] ^ ints[j]).bit_count() < 2**levels}
+
+
+def test_split_buckets(spark, monkeypatch):
+    """Large buckets in blocks: the same groups."""
+    rows = planted(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash_groups, "SPLIT", 7)
+    assert sorted(r["doc_id"] for r in simhash_groups.group_heads(df).collect()) == brute_heads(rows)
+
+
+def test_number_of_tables():
+    """Long keys for many documents; a pair at 0.8 shares a bucket with probability 0.997 or more."""
+    for n in (0, 1, 10**4, 10**6, 10**9):
+        bits, tables = simhash_groups.tables_for(n)
+        assert n / 2**bits <= simhash_groups.BUCKET
+        assert (1 - simhash_groups.AGREE**bits) ** tables <= simhash_groups.MISSED

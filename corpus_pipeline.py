@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.deploy import shared_dir, ship, table
-from quillspark.llm import decontaminate, lines, near_copies, packing, quality, tokens
+from quillspark.llm import decontaminate, lines, packing, quality, simhash_groups, tokens
 from quillspark.llm.written import Written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,8 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with 5-word Jaccard similarity of 0.8 or more the one with the smallest id."""
     ship(spark)
-    heads = near_copies.group_heads(docs)
-    return heads.select(*COLUMNS)
+    return simhash_groups.group_heads(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,3 +114,30 @@ def test_every_repeated_passage_goes(spark, documents):
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(df.select("doc_id", "text").union(more)).collect()}
     assert got == want
     assert want[10**9 + 1] == ("", 1) and want[10**9 + 2][1] == 1 and want[10**9 + 6] == ("t", 3)
+
+
+def test_small_alphabets(spark):
+    """Every run of two lines or more that stands earlier is gone, whatever places hold its parts first; nothing else is."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "\n".join(f"L{rng.randrange(6)}" for _ in range(rng.randrange(1, 9)))) for i in range(200)]
+    rows += [(200 + i, "\n".join(f"M{rng.randrange(40)}" for _ in range(rng.randrange(1, 30)))) for i in range(100)]
+    seen, want = set(), {}
+    for d, t in rows:
+        own = t.split("\n")
+        gone = set()
+        for k in range(len(own) - 1):
+            if (own[k], own[k + 1]) in seen:
+                gone |= {k, k + 1}
+            seen.add((own[k], own[k + 1]))
+        want[d] = ("\n".join(x for k, x in enumerate(own) if k not in gone), len(gone))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_equal_lines(spark):
+    """100,000 equal lines in one document: linear in time and memory; the first line stays."""
+    rows = [(1, "\n".join(["same line"] * 100_000)), (2, "same line\nsame line\nother"), (3, "x" * 2_000_000)]
+    got = {r["doc_id"]: (len(r["text"]), r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (9, 100_000, 99_999), 2: (5, 3, 2), 3: (2_000_000, 1, 0)}

@@ -3,34 +3,34 @@
 1. Terms: A-Z lower-cased runs of letters, digits and anything beyond ASCII. The vocabulary are the terms of the benchmark
    items; other terms can't be common to both sides. Each document is turned into vocabulary numbers once (0: another
    term), which are written to the shared folder; everything after reads these.
-2. Passages: blocks of `BLOCK` terms. How many blocks hold each term is counted over all documents (idf).
-3. Distributed randomised SVD of the TF-IDF matrix A (blocks x vocabulary): each task adds A'(A W) of its blocks for a
-   random W, the sum is orthonormalised (Q), each task adds (A Q)'(A Q), whose eigenvectors rotate Q. Sums are made by
-   slice of the vocabulary before anything comes to the driver, which holds vocabulary x (`RANK` + `SKETCH`) numbers.
-   A corpus holds few benchmark passages, so its leading directions say little of them: the latent vector of a passage
-   has its coordinates in the `RANK` leading directions, and `SKETCH` random projections of what is left of it, which keep
-   cosines within about 1 / sqrt(`SKETCH`). Terms that stand in over `COMMON` of the blocks and of the items weigh
-   nothing, unless an item has no others; all other terms weigh at least `FLOOR`, so a passage that a large part of the
-   corpus holds is found too.
-4. Cosine candidates: every two neighbouring blocks are one search passage (so any `BLOCK` + 1 terms stand in one), which is
-   projected and compared with all items of a benchmark block; all pairs of at least `COSINE` are candidates, uncapped.
-   That loses items that are much longer or shorter than a passage, and a few by the noise of the projections, so beside it
-   an exact way finds all that the checks below could accept: a stretch of an item's length in which `LCS_ANSWER` of the
-   item's terms stand. Of each item the commonest terms are left out, fewer than may be missing, and runs of blocks that hold
-   as many of the others as must be there are candidates too. So no verdict depends on a cosine.
+2. Passages: blocks of `BLOCK` terms. How many blocks hold each term is counted over all documents (idf). Terms that stand in
+   over `COMMON` of the blocks and of the items weigh nothing, unless an item has no others; all others weigh `FLOOR` or more,
+   so a passage that a large part of the corpus holds is found too.
+3. Distributed randomised SVD of the TF-IDF matrix A, whose rows are all blocks of the corpus and the benchmark's pieces, which
+   are weighted to as much as the corpus: else its few passages would have no part in the leading directions. Each task adds
+   A'(A W) of its blocks, Spark adds the tasks' rows up, the sum is orthonormalised, `ROUNDS` times (power iterations); then
+   (A Q)'(A Q) is added up likewise, and its eigenvectors give the `RANK` leading directions. A passage's latent vector is the
+   sum of its terms' weighted coordinates, and nothing else. The driver holds vocabulary x rank numbers.
+4. Cosine candidates: an item is searched for as a whole, or in pieces of `PIECE` terms if it is longer; short pieces among
+   short passages, longer ones among longer (`SCALES`). A search passage are two neighbouring blocks, so any stretch of a block
+   and a term stands in one. All pairs of at least `COSINE` are candidates, uncapped.
 5. Checks on the terms themselves, around the candidate passage: the longest common subsequence with the item, in a stretch
    not much longer than the item, must reach `LCS` of the item's terms; or `LCS_ANSWER`, if the item's answer (its last
    quarter, where a question's answer stands) is found to `ANSWER` too. So inserted, dropped and exchanged terms are
    tolerated, scattered common words are not.
+6. Verbatim items of any length are also found exactly: where an item's rarest term stands, all its terms are compared. Items of
+   fewer than `LEAST` terms would match by chance if terms could be missing, so they are found in this way only; fewer than
+   `VERBATIM` terms are no evidence and aren't searched for.
 
-`contaminations(docs, benchmark)`: doc_id, item_id, cosine, lcs (share of the item's terms), answer (share of the answer's
-terms), a row for each document row and item, the best passage of it.
+`contaminations(docs, benchmark)`: doc_id, item_id, cosine (of the passage; of a verbatim stretch 1), lcs (share of the item's terms), answer
+(share of the answer's terms), a row for each document row and item, the best passage of it.
 `clean(docs, benchmark)`: the rows of `docs` without a contamination, all columns.
 
-The benchmark is read in blocks of `ITEMS` items, so its vocabulary has a bound. Items with fewer than `LEAST` terms are
-not searched for: they would match by chance. Null texts and items have no terms. Null doc_ids are kept, each row is
-judged on its own, so equal ids and repeated rows give a row each. Very long texts go through in slices; a text holds the
-memory of its numbers. Empty tables on either side give no rows.
+The benchmark is read in blocks of at most `ITEMS` items and about `ITEM_TERMS` terms, which bounds what is broadcast; each block
+reads the corpus anew. Null texts and items have no terms. Null doc_ids are kept, each row is judged on its own, so equal ids
+and repeated rows give a row each. Very long texts go through in slices; a text holds the memory of its numbers. Further
+columns are passed through by `clean`, but for names beginning with "__", which are refused. Empty tables on either side give
+no rows.
 """
 
 from __future__ import annotations
@@ -45,17 +45,20 @@ from pyspark.sql import functions as F
 from quillspark.llm.words import slices, texts
 from quillspark.llm.written import Written, written
 
-ITEMS = 5_000
+ITEMS, ITEM_TERMS = 2_000, 200_000
 BLOCK = 32
-RANK, OVERSAMPLE, SKETCH, SEED = 32, 8, 96, 7
+RANK, OVERSAMPLE, ROUNDS, SEED = 96, 8, 2, 7
 COMMON, FLOOR = 0.1, 1.0
-COSINE = 0.4
+COSINE = 0.42
+PIECE = 64
+#: (terms of a block, longest piece that is searched for in passages of two of them), shortest first.
+SCALES = ((12, 24), (BLOCK, PIECE))
 LCS, LCS_ANSWER, ANSWER = 0.8, 0.6, 0.75
-LEAST = 8
-#: Terms of one slice of a document, a multiple of BLOCK.
-SLICE = 1 << 17
-#: Blocks times items that are counted at once.
-CELLS = 1 << 20
+LEAST, VERBATIM = 8, 3
+#: Terms of one slice of a document, a multiple of every block.
+SLICE = 96 * 1365
+#: Items of a block of cosines.
+_STEP = 4096
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -69,13 +72,29 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, bytes]]):
         self.ids, self.numbers, self.vocabulary = [], [], {}
+        self.short: list[tuple[int, np.ndarray]] = []
         for item_id, text in rows:
             found = terms(text)
-            if len(found) >= LEAST:
+            if len(found) < VERBATIM:
+                continue
+            own = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in found], np.uint32)
+            if len(found) < LEAST:
+                self.short.append((item_id, own))
+            else:
                 self.ids.append(item_id)
-                self.numbers.append(np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in found], np.uint32))
+                self.numbers.append(own)
         self.size = len(self.vocabulary) + 1
 
+    def pieces(self) -> list[tuple[int, np.ndarray]]:
+        """(place of the item, terms) of what is searched for."""
+        out = []
+        for k, x in enumerate(self.numbers):
+            starts = range(0, max(1, len(x) - PIECE + 1), PIECE)
+            out += [(k, x[s : s + PIECE]) for s in starts]
+            if len(x) > PIECE and len(x) % PIECE:
+                out.append((k, x[-PIECE:]))
+        return out
+
     def weights(self, df: np.ndarray, n: int) -> np.ndarray:
         """idf of each term over n blocks, by the rule above."""
         w = np.maximum(np.log((1 + n) / (1 + df)), FLOOR)
@@ -92,7 +111,7 @@ class Items:
 def _encoded(docs: DataFrame, items: Items, id_column: str, text: str) -> DataFrame:
     """doc_id, row (a number of the row), ids (u32 or u16)."""
     kind = "<u2" if items.size < 1 << 16 else "<u4"
-    known = docs.sparkSession.sparkContext.broadcast(items.vocabulary)  # bounded by ITEMS
+    known = docs.sparkSession.sparkContext.broadcast(items.vocabulary)  # bounded by ITEM_TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
@@ -136,26 +155,24 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(values, first, axis=0)
 
 
-_PART = 4096
-
-
 def _added(df: DataFrame, run, n_rows: int, width: int) -> np.ndarray:
-    """The sum of the float64 matrices (n_rows x width) that `run` yields in slices of rows (part, binary)."""
-
-    def add(part: pa.Table) -> pa.Table:
-        every = [np.frombuffer(x, np.float64) for x in part["m"].to_pylist()]
-        return pa.table({"part": part["part"][:1], "m": pa.array([np.sum(every, axis=0).tobytes()], pa.binary())})
-
-    rows = df.mapInArrow(run, "part long, m binary").groupBy("part").applyInArrow(add, "part long, m binary").collect()
+    """The sum of the matrices (n_rows x width) of which `run` yields rows (row, c0, c1, …). Spark adds them up by row, so no
+    task gathers what the others have made."""
+    columns = [f"c{k}" for k in range(width)]
+    rows = df.mapInArrow(run, ", ".join(["row long", *(f"{c} double" for c in columns)]))
+    added = rows.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # a row for each term at most
     out = np.zeros((n_rows, width))
-    for r in rows:
-        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["m"], np.float64).reshape(-1, width)
+    out[added["row"].to_numpy()] = np.stack([added[c].to_numpy() for c in columns], axis=1) if added.num_rows else 0
     return out
 
 
-def _parts(m: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for p in range(0, len(m), _PART):
-        yield pa.RecordBatch.from_arrays([pa.array([p // _PART], pa.int64()), pa.array([np.ascontiguousarray(m[p : p + _PART]).tobytes()], pa.binary())], ["part", "m"])
+def _rows(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a matrix that aren't zero."""
+    full = np.flatnonzero(m.any(axis=1))
+    names = ["row", *(f"c{k}" for k in range(m.shape[1]))]
+    for k in range(0, len(full), 4096):
+        own = full[k : k + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(c) for c in np.ascontiguousarray(m[own].T))], names)
 
 
 def _document_frequency(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -168,7 +185,7 @@ def _document_frequency(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]
                 key = np.unique(blocks.astype(np.int64) * size + ids)
                 n += np.bincount(key % size, minlength=size)
                 n[0] += len(np.unique(blocks))
-        yield from _parts(n.reshape(-1, 1))
+        yield from _rows(n.reshape(-1, 1))
 
     n = _added(encoded, run, size, 1)[:, 0]
     return n, int(n[0])
@@ -179,42 +196,69 @@ def _project(blocks: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> tuple[
     return _sums(blocks, weights[ids])
 
 
-def latent_space(encoded: DataFrame, items: Items, counted: tuple[np.ndarray, int], rank: int = RANK, sketch_width: int = SKETCH) -> np.ndarray:
-    """idf-weighted directions (size x (rank + sketch)): a passage's latent vector is the sum of its terms' rows. `counted`
-    is the document frequency."""
+def _applied(x: np.ndarray, blocks: np.ndarray, ids: np.ndarray, weights: np.ndarray, y: np.ndarray) -> None:
+    """Adds A'(A W) of some blocks to y."""
+    held, sums = x
+    order = np.argsort(ids, kind="stable")
+    at = np.searchsorted(held, blocks[order])
+    own, added = _sums(ids[order], sums[at])
+    y[own] += added
+
+
+def latent_space(encoded: DataFrame, items: Items, counted: tuple[np.ndarray, int], rank: int = RANK, rounds: int = ROUNDS) -> np.ndarray:
+    """idf-weighted directions (size x rank): a passage's latent vector is the sum of its terms' rows. `counted` is the document
+    frequency."""
     size = items.size
     idf = items.weights(*counted)
     width = min(rank + OVERSAMPLE, size)
-    start = np.random.default_rng(SEED).standard_normal((size, width))
-    first = (start * idf[:, None]).astype(np.float32)
+    bench = [x for _, x in items.pieces()]
+    rows, ids = np.repeat(np.arange(len(bench)), [len(x) for x in bench]), np.concatenate(bench)
+    weighs = idf > 0
+
+    def of_benchmark(m: np.ndarray) -> np.ndarray:
+        y = np.zeros_like(m)
+        _applied(_project(rows, ids, m), rows, ids, m, y)
+        return y
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = np.zeros((size, width))
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks and terms that weigh anything."""
         for b in slices(batches, 256):
             for blocks, ids in _pieces(b, size):
-                held, x = _project(blocks, ids, first)
-                order = np.argsort(ids, kind="stable")
-                at = np.searchsorted(held, blocks[order])
-                own, sums = _sums(ids[order], x[at])
-                y[own] += sums
-        yield from _parts(y)
-
-    y = _added(encoded, sketch, size, width) * idf[:, None]
-    q, _ = np.linalg.qr(y)
-    second = (q * idf[:, None]).astype(np.float32)
+                own = np.flatnonzero(weighs[ids])
+                if len(own):
+                    yield blocks[own], ids[own]
+
+    def applied(m: np.ndarray) -> np.ndarray:
+        """A'(A m) of the corpus, in unweighted terms."""
+        weights = m.astype(np.float32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            y = np.zeros((size, width))
+            for blocks, ids in parts(batches):
+                _applied(_project(blocks, ids, weights), blocks, ids, weights, y)
+            yield from _rows(y)
+
+        return _added(encoded, run, size, width)
+
+    m, share = np.random.default_rng(SEED).standard_normal((size, width)), 1.0
+    for k in range(rounds):
+        corpus, own = applied(m * idf[:, None]) * idf[:, None], of_benchmark(m * idf[:, None]) * idf[:, None]
+        if k == 0:  # m is random: sums of m * A'A m are the traces, all that A holds
+            share = abs((m * corpus).sum()) / max(abs((m * own).sum()), 1e-9) or 1.0
+        m, _ = np.linalg.qr(corpus + share * own)
+    last = (m * idf[:, None]).astype(np.float32)
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((width, width))
-        for b in slices(batches, 256):
-            for blocks, ids in _pieces(b, size):
-                x = _project(blocks, ids, second)[1]
-                g += x.T @ x
-        yield from _parts(g)
+        for blocks, ids in parts(batches):
+            x = _project(blocks, ids, last)[1]
+            g += x.T @ x
+        yield from _rows(g)
 
-    values, vectors = np.linalg.eigh(_added(encoded, gram, width, width))
-    leading = q @ vectors[:, np.argsort(-values)[:rank]]
-    random = np.random.default_rng(SEED + 1).standard_normal((size, sketch_width)) / np.sqrt(sketch_width)
-    return (np.hstack([leading, random - leading @ (leading.T @ random)]) * idf[:, None]).astype(np.float32)
+    x = _project(rows, ids, last)[1].astype(np.float64)
+    values, vectors = np.linalg.eigh(_added(encoded, gram, width, width) + share * (x.T @ x))
+    leading = m @ vectors[:, np.argsort(-values)[:rank]]
+    return (leading * idf[:, None]).astype(np.float32)
 
 
 def lcs_table(item: np.ndarray) -> dict[int, int]:
@@ -237,10 +281,10 @@ def lcs_length(table: dict[int, int], n: int, other: list[int]) -> int:
     return n - v.bit_count()
 
 
-def best_stretch(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """(length, from, to) of the best common subsequence within stretches of 1.5 items and 8 terms of doc[low:high]."""
-    n, table = len(item), lcs_table(item)
-    reach = _reach(n)
+def best_stretch(n: int, table: dict[int, int], doc: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """(length, from, to) of the best common subsequence of an item of n terms within stretches of 1.5 items and 8 terms of
+    doc[low:high]."""
+    reach = n + n // 2 + 8
     best = (0, low, low)
     step = max(1, n // 4)
     for at in range(low, max(low + 1, high - n // 2), step):
@@ -253,92 +297,93 @@ def best_stretch(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tupl
     return best
 
 
-def _reach(n: int) -> int:
-    """Terms of a stretch that is searched for an item of n terms."""
-    return n + n // 2 + 8
-
-
-class Holders:
-    """Which items hold a term, for the runs of blocks that may hold `share` of an item's terms."""
-
-    def __init__(self, numbers: list[np.ndarray], frequency: np.ndarray, share: float):
-        terms, owners, times, need = [], [], [], []
-        for k, x in enumerate(numbers):
-            must = max(1, int(np.ceil(share * len(x) - 1e-9)))
-            left_out = (len(x) - must) * 3 // 4
-            own, n = np.unique(x[np.argsort(frequency[x], kind="stable")[: len(x) - left_out]], return_counts=True)
-            need.append(max(1, must - left_out))
-            terms.append(own)
-            owners.append(np.full(len(own), k))
-            times.append(n)
-        order = np.argsort(np.concatenate(terms), kind="stable")
-        self.owner, self.times = np.concatenate(owners)[order], np.concatenate(times)[order].astype(np.float64)
-        self.first = np.searchsorted(np.concatenate(terms)[order], np.arange(len(frequency) + 1))
-        self.need = np.array(need, np.float64)
-        #: Blocks that hold any stretch of an item's reach.
-        self.width = np.array([(_reach(len(x)) + BLOCK - 2) // BLOCK + 1 for x in numbers])
-
-    def runs(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-        """(document, first block, item): the runs of `width` blocks that hold enough of an item."""
-        begin = np.cumsum([0, *(-(-len(d) // BLOCK) for d in docs)])
-        size, k, total = len(self.first) - 1, len(self.need), int(begin[-1])
-        where = [np.flatnonzero(d) for d in docs]
-        if not total or not sum(map(len, where)):
-            return
-        key = np.unique(np.concatenate([(w // BLOCK + b) * size + d[w] for d, w, b in zip(docs, where, begin[:-1].tolist(), strict=True)]))
-        block, term = key // size, key % size
-        end = np.repeat(begin[1:], np.diff(begin))
-        widest = int(self.width.max())
-        step = max(2 * widest, CELLS // k)
-        for b in range(0, total, step):
-            rows = min(total, b + step + widest) - b
-            s, e = np.searchsorted(block, [b, b + rows])
-            n = self.first[term[s:e] + 1] - self.first[term[s:e]]
-            at = np.repeat(self.first[term[s:e]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            held = np.bincount(np.repeat(block[s:e] - b, n) * k + self.owner[at], self.times[at], rows * k).reshape(rows, k)
-            sums = np.vstack([np.zeros((1, k)), np.cumsum(held, axis=0)])
-            starts = np.arange(min(step, rows))
-            for width in np.unique(self.width).tolist():
-                own = np.flatnonzero(self.width == width)
-                to = np.minimum(np.minimum(starts + width, end[b + starts] - b), rows)
-                enough = sums[to][:, own] - sums[starts][:, own] >= self.need[own]
-                for i, j in zip(*np.nonzero(enough), strict=True):
-                    doc = int(np.searchsorted(begin, b + i, "right")) - 1
-                    yield doc, int(b + i - begin[doc]), int(own[j])
+class Verbatim:
+    """Items by their rarest term."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], frequency: np.ndarray):
+        self.is_anchor, self.by_anchor = np.zeros(len(frequency), bool), {}
+        for k, x in items:
+            at = int(np.argmin(frequency[x]))
+            self.is_anchor[x[at]] = True
+            self.by_anchor.setdefault(int(x[at]), []).append((k, at, x))
+
+    def found(self, doc: np.ndarray) -> set[int]:
+        """The items of which all terms stand in a row."""
+        out = set()
+        where = np.flatnonzero(self.is_anchor[doc])
+        for p, term in zip(where.tolist(), doc[where].tolist(), strict=True):
+            for k, at, x in self.by_anchor[term]:
+                if k not in out and p >= at and np.array_equal(doc[p - at : p - at + len(x)], x):
+                    out.add(k)
+        return out
+
+
+class Searched:
+    """The pieces of one scale: those of up to `longest` terms that no shorter scale has."""
+
+    def __init__(self, pieces: list[tuple[int, np.ndarray]], block: int, space: np.ndarray):
+        self.block, self.owner = block, np.array([k for k, _ in pieces])
+        latent = np.stack([space[x].sum(axis=0) for _, x in pieces])
+        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+    def candidates(self, doc: np.ndarray, space: np.ndarray, cosine: float, may: np.ndarray | None = None) -> Iterator[tuple[int, int, int, float]]:
+        """(item, from, to, cosine) of the search passages of a document. may: the items that its terms allow."""
+        block, owner, latent = self.block, self.owner, self.latent
+        if may is not None:
+            owner, latent = owner[may[owner]], latent[may[owner]]
+            if not len(owner):
+                return
+        for at in range(0, len(doc), SLICE):
+            part = doc[at : at + SLICE + block]  # one block more: the next passage
+            where = np.flatnonzero(part)
+            if not len(where):
+                continue
+            own, sums = _project(where // block, part[where], space)
+            z = np.zeros((-(-len(part) // block), space.shape[1]), np.float32)
+            z[own] = sums
+            z = z[:-1] + z[1:] if len(z) > 1 else z
+            norm = np.linalg.norm(z, axis=1)
+            full = np.flatnonzero(norm > 1e-9)
+            z = z[full] / norm[full, None]
+            for k in range(0, len(full), 1024):
+                for i in range(0, len(latent), _STEP):
+                    cos = z[k : k + 1024] @ latent[i : i + _STEP].T
+                    for a, b in zip(*np.nonzero(cos >= cosine), strict=True):
+                        low = at + int(full[k + a]) * block
+                        yield int(owner[i + b]), low, min(low + 2 * block, len(doc)), float(cos[a, b])
+
+
+def scales(items: Items, space: np.ndarray) -> list[Searched]:
+    out, shortest = [], 0
+    for block, longest in SCALES:
+        own = [p for p in items.pieces() if shortest < len(p[1]) <= longest]
+        out += [Searched(own, block, space)] if own else []
+        shortest = longest
+    return out
 
 
 def _search(encoded: DataFrame, items: Items, space: np.ndarray, frequency: np.ndarray, cosine: float, cuts: tuple[float, float, float]) -> DataFrame:
     size, lcs_cut, lcs_answer, answer_cut = items.size, *cuts
-    latent = np.stack([space[x].sum(axis=0) for x in items.numbers])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    holders = Holders(items.numbers, frequency, lcs_answer)
-    held = encoded.sparkSession.sparkContext.broadcast((items.ids, items.numbers, latent.astype(np.float32), space, holders))  # bounded by ITEMS
+    exact = Verbatim([*zip(items.ids, items.numbers, strict=True), *items.short], frequency)
+    held = encoded.sparkSession.sparkContext.broadcast((items.ids, items.numbers, exact, scales(items, space), space))  # bounded by ITEM_TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, numbers, latent, space, holders = held.value
-        lengths = np.array([len(x) for x in numbers])
+        ids, numbers, exact, searched, space = held.value
+        lengths = [len(x) for x in numbers]
         counts = [np.unique(x, return_counts=True) for x in numbers]
-
-        def pairs(doc: np.ndarray) -> Iterator[tuple[int, int, float]]:
-            """(item, block, cosine) of a document's search passages."""
-            for at in range(0, len(doc), SLICE):
-                part = doc[at : at + SLICE + BLOCK]  # one block more: the next passage
-                where = np.flatnonzero(part)
-                if not len(where):
-                    continue
-                n_blocks = -(-len(part) // BLOCK)
-                own, sums = _project(where // BLOCK, part[where], space)
-                z = np.zeros((n_blocks, space.shape[1]), np.float32)
-                z[own] = sums
-                z = z[:-1] + z[1:] if n_blocks > 1 else z
-                norm = np.linalg.norm(z, axis=1)
-                full = np.flatnonzero(norm > 1e-9)
-                for k in range(0, len(full), 1024):
-                    some = full[k : k + 2048]
-                    for i in range(0, len(latent), 4096):
-                        cos = (z[some] / norm[some, None]) @ latent[i : i + 4096].T
-                        for a, b in zip(*np.nonzero(cos >= cosine), strict=True):
-                            yield i + int(b), at // BLOCK + int(some[a]), float(cos[a, b])
+        tables = [None] * len(numbers)
+        every = np.concatenate([own for own, _ in counts] or [np.zeros(0, np.uint32)])
+        times = np.concatenate([n for _, n in counts] or [np.zeros(0, np.int64)])
+        first = np.cumsum([0, *(len(own) for own, _ in counts)])[:-1]
+        need = lcs_answer * np.array(lengths) - 1e-9
+
+        def possible(doc: np.ndarray) -> np.ndarray:
+            """The items of which the document holds enough terms anywhere."""
+            if not len(need):
+                return need.astype(bool)
+            have = np.zeros(size, bool)
+            have[doc] = True
+            return np.add.reduceat(have[every] * times, first) >= need
 
         def holds(k: int, region: np.ndarray) -> bool:
             """An upper bound of the subsequence is enough."""
@@ -349,8 +394,9 @@ def _search(encoded: DataFrame, items: Items, space: np.ndarray, frequency: np.n
 
         def check(k: int, doc: np.ndarray, low: int, high: int) -> tuple[float, float] | None:
             """Shares of the item and of its answer, if they are enough."""
-            n = int(lengths[k])
-            got, at, to = best_stretch(numbers[k], doc, low, high)
+            n = lengths[k]
+            tables[k] = tables[k] or lcs_table(numbers[k])
+            got, at, to = best_stretch(n, tables[k], doc, low, high)
             share = got / n
             if share < lcs_answer:
                 return None
@@ -358,46 +404,29 @@ def _search(encoded: DataFrame, items: Items, space: np.ndarray, frequency: np.n
             answer = lcs_length(lcs_table(tail), len(tail), doc[at : to + 8].tolist()) / len(tail)
             return (share, answer) if share >= lcs_cut or answer >= answer_cut else None
 
-        def nearest(k: int, part: np.ndarray) -> float:
-            """The largest cosine of the passages of some blocks."""
-            where = np.flatnonzero(part)
-            own, sums = _project(where // BLOCK, part[where], space)
-            z = np.zeros((-(-len(part) // BLOCK), space.shape[1]), np.float32)
-            z[own] = sums
-            z = z[:-1] + z[1:] if len(z) > 1 else z
-            return float(np.max(z @ latent[k] / np.maximum(np.linalg.norm(z, axis=1), 1e-12)))
-
-        def found(doc: np.ndarray, runs: list[tuple[int, int]]) -> list[tuple[int, float, float, float]]:
+        def found(doc: np.ndarray) -> list[tuple[int, float, float, float]]:
+            whole = exact.found(doc)
             best: dict[int, tuple[float, float, float]] = {}
             none = (0.0, 0.0, 0.0)
-            for k, block, cos in pairs(doc):
-                n = int(lengths[k])
-                low, high = max(0, block * BLOCK - n), min(len(doc), (block + 2) * BLOCK + n)
-                if best.get(k, none)[0] < 1.0 and holds(k, doc[low:high]):
-                    got = check(k, doc, low, high)
-                    if got:
-                        best[k] = max(best.get(k, none), (*got, cos))
-            for k, block in runs:
-                n = int(lengths[k])
-                part = doc[block * BLOCK : (block + int(holders.width[k])) * BLOCK]
-                if best.get(k, none)[0] < 1.0 and holds(k, part):
-                    got = check(k, doc, max(0, block * BLOCK - n), min(len(doc), block * BLOCK + len(part) + n))
-                    if got and got > best.get(k, none)[:2]:
-                        best[k] = (*got, nearest(k, part))
-            return [(ids[k], cos, share, answer) for k, (share, answer, cos) in best.items()]
+            may = possible(doc) & ~np.isin(ids, list(whole))
+            for one in searched if may.any() else ():
+                for k, low, high, cos in one.candidates(doc, space, cosine, may):
+                    n = lengths[k]
+                    low, high = max(0, low - n), min(len(doc), high + n)
+                    if may[k] and best.get(k, none)[0] < 1.0 and holds(k, doc[low:high]):
+                        got = check(k, doc, low, high)
+                        if got:
+                            best[k] = max(best.get(k, none), (*got, cos))
+            return [(ids[k], cos, share, answer) for k, (share, answer, cos) in best.items()] + [(i, 1.0, 1.0, 1.0) for i in sorted(whole)]
 
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         names = ["doc_id", "item_id", "cosine", "lcs", "answer"]
         for b in slices(batches, 256):
-            docs = [_numbers(raw, size) for raw in b.column("ids").to_pylist()]
-            runs: list[list[tuple[int, int]]] = [[] for _ in docs]
-            for d, block, k in holders.runs(docs):
-                runs[d].append((k, block))
-            rows = [(i, *x) for i, doc, own in zip(b.column("doc_id").to_pylist(), docs, runs, strict=True) for x in found(doc, own)]
+            rows = [(i, *x) for i, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True) for x in found(_numbers(raw, size))]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return encoded.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs double, answer double")
+    return encoded.mapInArrow(run, _FOUND)
 
 
 _FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double"
@@ -414,21 +443,26 @@ def contaminations(
 
     def add(out: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
         items = Items(block)
-        if not items.ids:
+        if not items.ids and not items.short:
             return out
         encoded = Written(_encoded(docs, items, id_column, text), "encoded").df
         counted = _document_frequency(encoded, items.size)
-        return out.union(_search(encoded, items, latent_space(encoded, items, counted), counted[0], cosine, cuts))
+        space = latent_space(encoded, items, counted) if items.ids else np.zeros((items.size, 1), np.float32)
+        return out.union(_search(encoded, items, space, counted[0], cosine, cuts))
 
+    held = 0
     for r in rows.toLocalIterator():  # the stated query set, block by block
         block.append((r["k"], r["t"].encode()))
-        if len(block) == ITEMS:
-            out, block = add(out, block), []
+        held += len(block[-1][1]) // 4
+        if len(block) == ITEMS or held >= ITEM_TERMS:
+            out, block, held = add(out, block), [], 0
     return add(out, block) if block else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows of `docs` without a contamination. Rows are told apart by id and a hash of the text."""
+    if any(c.startswith("__") for c in docs.columns):
+        raise ValueError("columns named __* can't be passed through")
     key = F.xxhash64(F.coalesce(docs[id_column].cast("long"), F.lit(-1)), docs[text].cast("string"))
     keyed = docs.select("*", key.alias("__key"))
     bad = contaminations(keyed.select(F.col("__key"), F.col(text)), benchmark, "__key", text, **options).select(F.col("doc_id").alias("__key"))

@@ -128,6 +128,72 @@ def test_contamination_odd_rows(spark, odd, empty):
     assert left.columns == df.columns and left.count() == 8
 
 
+def test_recall_against_all_pairs(spark, documents):
+    """Every document against every item by the checks alone, without candidates: nearly all of those pairs are found."""
+    df, rows = documents
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    rng = random.Random(8)
+    pool = [w for _, t in rows for w in t.split()]
+    planted = []
+    for k in range(240):
+        i, t = bench[k % len(bench)]
+        host = [rng.choice(pool) for _ in range(rng.randint(20, 400))]
+        at = rng.randrange(len(host))
+        planted.append((10_000 + k, " ".join(host[:at] + edited(rng, t.split(), rng.choice([0.1, 0.2, 0.3]), pool) + host[at:])))
+    both = df.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    items = decontaminate.Items([(i, t.encode()) for i, t in bench])
+    want = set()
+    for d, t in [*rows, *planted]:
+        doc = np.array([items.vocabulary.get(x, 0) for x in decontaminate.terms(t.encode())], np.uint32)
+        for i, x in zip(items.ids, items.numbers, strict=True):
+            if len(np.intersect1d(x, doc)) < 0.5 * len(np.unique(x)):
+                continue
+            n, tail = len(x), x[-max(1, len(x) // 4) :]
+            got, at, to = decontaminate.best_stretch(n, decontaminate.lcs_table(x), doc, 0, len(doc))
+            answer = decontaminate.lcs_length(decontaminate.lcs_table(tail), len(tail), doc[at : to + 8].tolist()) / len(tail)
+            if got >= decontaminate.LCS * n or got >= decontaminate.LCS_ANSWER * n and answer >= decontaminate.ANSWER:
+                want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminations(both, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")).collect()}
+    assert len(want) > 150 and len(want & got) >= 0.97 * len(want)
+    assert not [g for g in got if g[0] < 10_000 and g not in want]
+
+
+def test_short_items(spark):
+    """Items of 3 to 7 terms where they stand verbatim; fewer terms are no evidence."""
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two"), (3, "x y z x y z w"), (4, None)], "item_id long, text string")
+    docs = [(1, "so Alpha, beta gamma."), (2, "alpha beta. delta gamma"), (3, "one two"), (4, "x y z x y z x y z w"), (5, None), (6, "")]
+    got = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["lcs"]) for r in got) == [(1, 1, 1.0), (4, 3, 1.0)]
+
+
+def test_space_is_added_up(spark):
+    """The directions are those of a decomposition on one machine."""
+    rng = np.random.default_rng(2)
+    docs = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 80) % 60)) for k in range(300)]
+    items = decontaminate.Items([(k, " ".join(f"w{int(x)}" for x in rng.integers(0, 60, 20)).encode()) for k in range(12)])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    encoded = decontaminate._encoded(df, items, "doc_id", "text").persist()
+    counted = decontaminate._document_frequency(encoded, items.size)
+    blocks = []
+    for _, t in docs:
+        own = np.array([items.vocabulary.get(x, 0) for x in decontaminate.terms(t.encode())])
+        blocks += [np.bincount(own[k : k + decontaminate.BLOCK], minlength=items.size) for k in range(0, len(own), decontaminate.BLOCK)]
+    a = np.stack(blocks).astype(float)
+    a[:, 0] = 0
+    assert (counted[0][1:] == (a > 0).sum(axis=0)[1:]).all() and counted[1] == (a.sum(axis=1) > 0).sum()
+    idf = items.weights(*counted)
+    b = np.stack([np.bincount(x, minlength=items.size) for _, x in items.pieces()]) * idf
+    a = a * idf
+    share = (a**2).sum() / (b**2).sum()
+    gram = a.T @ a + share * b.T @ b
+    space = decontaminate.latent_space(encoded, items, counted, rank=10, rounds=4)
+    full = idf > 0
+    q = np.where(full[:, None], space / np.where(full, idf, 1)[:, None], 0)
+    top = np.sort(np.linalg.eigvalsh(gram))[::-1][:10]
+    assert np.allclose(q.T @ q, np.eye(10), atol=1e-4)
+    assert np.trace(q.T @ gram @ q) >= 0.98 * top.sum()
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline(spark, documents):

@@ -14,7 +14,7 @@ similarity of `SIMILAR` or more; groups are the connected components of the link
 * The comparison is run thrice. First it only marks nodes that have a near one; all else is done with these. Of their shingles
   those that no other such node has are counted: they bound each overlap from above, which rules out most pairs of a large
   group whose members differ by edits of their own. Then each node names the near one with the fewest shingles of its own, one
-  pair a member however large the bucket. Last come the pairs whose groups still differ. So a pair is left out only where a
+  pair a member however large the bucket. Last come the pairs whose groups still differ, once each. So a pair is left out only where a
   group links it already or it can't reach `SIMILAR`.
 * Pairs are decided by the intersection of their sets, in the JVM.
 
@@ -26,7 +26,7 @@ long texts are read whole, one at a time. Empty tables give no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -123,6 +123,36 @@ def _cells(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("pair", F.explode(pair)).drop("count", "b", "own").withColumnRenamed("key", "cell")
 
 
+def _by_cell(rows: DataFrame, compare: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What `compare` finds in each cell of two rows or more. Cells stream through a task in order; one is held at a time."""
+    dealt = _cells(rows).repartition("cell", "pair").sortWithinPartitions("cell", "pair")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            cell = pa.Table.from_batches(held)
+            if cell.num_rows > 1:
+                yield from compare(cell.combine_chunks()).to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b["cell"].to_numpy(), b["pair"].to_numpy()])
+            cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                own = tuple(keys[:, s].tolist())
+                if held and own != key:
+                    yield from found()
+                    held = []
+                key = own
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from found()
+
+    return dealt.mapInArrow(run, schema)
+
+
 def _can_reach(n: np.ndarray, m: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Sets of these sizes, that share at most `common`, can have the Jaccard similarity SIMILAR."""
     num, den = SIMILAR.numerator, SIMILAR.denominator
@@ -144,7 +174,7 @@ def _marked(rows: DataFrame) -> DataFrame:
             has[i[ok]] = has[j[ok]] = True
         return pa.table({"node": pa.array(cell["node"].to_numpy()[has])})
 
-    return _cells(rows).groupBy("cell", "pair").applyInArrow(run, "node long").distinct()
+    return _by_cell(rows, run, "node long").distinct()
 
 
 def _central(rows: DataFrame) -> DataFrame:
@@ -161,23 +191,27 @@ def _central(rows: DataFrame) -> DataFrame:
         own = np.flatnonzero(least < len(n))
         return pa.table({"u": pa.array(node[own]), "v": pa.array(node[least[own]])})
 
-    return _cells(rows).groupBy("cell", "pair").applyInArrow(run, "u long, v long").distinct()
+    return _by_cell(rows, run, "u long, v long").distinct()
 
 
 def _crossing(rows: DataFrame) -> DataFrame:
-    """u, v: the near nodes whose groups (g) differ."""
+    """u, v: the near nodes whose groups (g) differ, each pair in the first table in which they share a key."""
 
     def run(cell: pa.Table) -> pa.Table:
         n, c, node, g = (cell[x].to_numpy() for x in ("n", "c", "node", "g"))
         us, vs = [node[:0]], [node[:0]]
         if (g != g[0]).any():
+            before = np.stack(cell["keys"].to_numpy())[:, : cell["cell"][0].as_py() >> 32]
             for i, j in near_pairs(_fps(cell), LEVELS):
-                ok = (g[i] != g[j]) & _can_reach(n[i], n[j], np.minimum(c[i], c[j]))
-                us.append(np.maximum(node[i[ok]], node[j[ok]]))
-                vs.append(np.minimum(node[i[ok]], node[j[ok]]))
+                ok = np.flatnonzero((g[i] != g[j]) & _can_reach(n[i], n[j], np.minimum(c[i], c[j])))
+                i, j = i[ok], j[ok]
+                ok = ~(before[i] == before[j]).any(axis=1)
+                i, j = i[ok], j[ok]
+                us.append(np.maximum(node[i], node[j]))
+                vs.append(np.minimum(node[i], node[j]))
         return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
 
-    return _cells(rows).groupBy("cell", "pair").applyInArrow(run, "u long, v long").distinct()
+    return _by_cell(rows, run, "u long, v long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,7 +242,7 @@ def links(nodes: DataFrame, sets_of) -> DataFrame:
     rows = some.select("node", "n", "c", "f0", "f1", F.explode("keys").alias("key"))
     near = written(_verified(written(_central(rows), "central"), sets), "near")
     met = written(_grouped(near, some), "grouped")
-    rows = met.select("node", "n", "c", "g", "f0", "f1", F.explode("keys").alias("key"))
+    rows = met.select("node", "n", "c", "g", "f0", "f1", "keys", F.explode("keys").alias("key"))
     return near.union(written(_verified(written(_crossing(rows), "crossing"), sets), "crossed"))
 
 

@@ -9,8 +9,9 @@ stands at a cover position in both, and only cover positions are hashed (3 of 7)
 1. Documents are dealt into chunks by a hash. A chunk sends each of its distinct anchors once, as 32 bits in a bucket
    of their hash, so copies within a chunk and words that every document has cost no more than one entry a chunk.
 2. A bucket answers with one bit an anchor: is it in two documents? (A chance agreement of 32 bits only adds a candidate.)
-3. A chunk extends the shared anchors: each window that holds one is hashed whole (64 bits within a bucket of another
-   hash) and sent once a chunk, with the smallest id that has it.
+3. A chunk extends the shared anchors: each window that holds one is hashed whole, by two independent functions of its words
+   (128 bits: of 10**12 windows two different ones agree with a probability of 1e-15), and sent once a chunk, with the
+   smallest id that has it. Windows are dealt to buckets by the first.
 4. A bucket answers with the smallest id over all chunks, where that decides anything.
 5. A chunk removes what is covered.
 No pairs are made, no group gathers more than a chunk's documents or a bucket's entries, and both grow in number with the
@@ -30,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.words import gram_hashes, hashes, mix, slices, texts
+from quillspark.llm.words import gram_hashes, hashes, mix, second_gram_hashes, slices, texts
 
 WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
-CHUNK_DOCS = 2000
+#: Documents and bytes of a chunk, about.
+CHUNK_DOCS, CHUNK_BYTES = 2000, 8 << 20
+#: Chunks of a partition, about, where there are more than the session's shuffle partitions would give.
+PARTITION_CHUNKS = 4
 #: Entries of a bucket, about.
 BUCKET_ENTRIES = 1_000_000
 
@@ -71,19 +75,34 @@ def _chunk_anchors(all_hashes: list[np.ndarray], n_buckets: int) -> tuple[np.nda
     return return_counts[0], return_counts[1] > 1
 
 
-def _windows(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and bucket of each window."""
+def _windows(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two hashes and the bucket of each window."""
     g = gram_hashes(h, WINDOW)
-    return g, mix(g ^ _SALT) % np.uint64(n_buckets)
+    return g, second_gram_hashes(h, WINDOW), mix(g ^ _SALT) % np.uint64(n_buckets)
 
 
-_SENT = "chunk long, bucket long, a binary, b binary, c binary"
+def _found(g: np.ndarray, k: np.ndarray, own_g: np.ndarray, own_k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of own_g, own_k are in the table g, k (sorted by both), and where."""
+    at = np.searchsorted(g, own_g)
+    open_ = np.arange(len(own_g))
+    hit = np.zeros(len(own_g), bool)
+    while len(open_):  # entries that agree in g lie side by side
+        open_ = open_[at[open_] < len(g)]
+        open_ = open_[g[at[open_]] == own_g[open_]]
+        same = k[at[open_]] == own_k[open_]
+        hit[open_[same]] = True
+        open_ = open_[~same]
+        at[open_] += 1
+    return hit, at
+
+
+_SENT = "chunk long, bucket long, a binary, b binary, c binary, d binary"
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "bucket", "a", "b", "c"])
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "bucket", "a", "b", "c", "d"])
 
 
 def _bits(x: np.ndarray) -> bytes:
@@ -98,16 +117,17 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     """doc_id, n_words, n_removed, spans (array of [start, end) of removed words), kept (kept words, one space between)."""
     rows = docs.select(docs[id_column].cast("long").alias("i"), docs[text].cast("string").alias("t"))
     size = rows.where("i is not null").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
-    n_chunks = max(1, -(-size["n"] // CHUNK_DOCS))
+    n_chunks = max(1, -(-size["n"] // CHUNK_DOCS), (size["b"] or 0) // CHUNK_BYTES)
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_chunks // PARTITION_CHUNKS)
     n_buckets = max(8, (size["b"] or 0) // 6 * len(COVER) // PERIOD // BUCKET_ENTRIES + 1)
-    chunked = rows.where("i is not null").withColumn("chunk", F.pmod(F.xxhash64("i", "t"), F.lit(n_chunks)).cast("long"))
+    chunked = rows.where("i is not null").withColumn("chunk", F.pmod(F.xxhash64("i", "t"), F.lit(n_chunks)).cast("long")).repartition(n_parts, "chunk")
 
     def send_anchors(docs: pa.Table) -> pa.Table:
         chunk = docs["chunk"][0].as_py()
         keys, several = _chunk_anchors(_chunk_hashes(docs), n_buckets)
         low = keys.astype(np.uint32)
         return _sent([
-            (chunk, b, low[s:e].tobytes(), _bits(several[s:e]), b"") for b, s, e in _by_bucket(keys >> np.uint64(32), len(keys))
+            (chunk, b, low[s:e].tobytes(), _bits(several[s:e]), b"", b"") for b, s, e in _by_bucket(keys >> np.uint64(32), len(keys))
         ])
 
     def answer_anchors(sent: pa.Table) -> pa.Table:
@@ -116,7 +136,7 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "te
         several = np.concatenate([_unbits(x, k) for x, k in zip(sent["b"].to_pylist(), n, strict=True)])
         _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         shared = np.split(several | (counts > 1)[inverse], np.cumsum(n)[:-1])
-        return _sent([(c, bucket, _bits(s), b"", b"") for c, s in zip(sent["chunk"].to_pylist(), shared, strict=True) if s.any()])
+        return _sent([(c, bucket, _bits(s), b"", b"", b"") for c, s in zip(sent["chunk"].to_pylist(), shared, strict=True) if s.any()])
 
     def send_windows(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
@@ -129,7 +149,7 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "te
             if b in said:
                 shared[s:e] = _unbits(said[b], e - s)
         keys = keys[shared]
-        found_h, found_b, found_i = [], [], []
+        found = []
         for i, h in zip(docs["i"].to_pylist(), every, strict=True):
             if len(h) < WINDOW:
                 continue
@@ -143,41 +163,40 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "te
             np.add.at(delta, np.maximum(at - PERIOD + 1, 0), 1)
             np.add.at(delta, np.minimum(at, last) + 1, -1)
             held = np.flatnonzero(np.cumsum(delta)[: last + 1] > 0)
-            g, b = _windows(h, n_buckets)
-            g, first = np.unique(g[held], return_index=True)
-            found_h.append(g)
-            found_b.append(b[held][first])
-            found_i.append(np.full(len(g), i, np.int64))
-        if not found_h:
+            g, k, b = (x[held] for x in _windows(h, n_buckets))
+            order = np.argsort(g, kind="stable")
+            g, k, b = g[order], k[order], b[order]
+            once = np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]))
+            found.append((g[once], k[once], b[once], np.full(once.sum(), i, np.int64)))
+        if not found:
             return _sent([])
-        g, b, i = map(np.concatenate, (found_h, found_b, found_i))
-        order = np.lexsort((i, g, b))
-        g, b, i = g[order], b[order], i[order]
-        first = np.ones(len(g), bool)
-        first[1:] = (g[1:] != g[:-1]) | (b[1:] != b[:-1])
+        g, k, b, i = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((i, k, g, b))
+        g, k, b, i = g[order], k[order], b[order], i[order]
+        first = np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (b[1:] != b[:-1]))
         several = np.append(~first[1:], False)[first]
-        g, b, i = g[first], b[first], i[first]
+        g, k, b, i = g[first], k[first], b[first], i[first]
         return _sent([
-            (chunk, k, g[s:e].tobytes(), i[s:e].tobytes(), _bits(several[s:e])) for k, s, e in _by_bucket(b, len(b))
+            (chunk, x, g[s:e].tobytes(), i[s:e].tobytes(), _bits(several[s:e]), k[s:e].tobytes()) for x, s, e in _by_bucket(b, len(b))
         ])
 
     def answer_windows(sent: pa.Table) -> pa.Table:
         bucket, parts = sent["bucket"][0].as_py(), [np.frombuffer(x, np.uint64) for x in sent["a"].to_pylist()]
         n = [len(p) for p in parts]
         g, i = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int64) for x in sent["b"].to_pylist()])
-        several = np.concatenate([_unbits(x, k) for x, k in zip(sent["c"].to_pylist(), n, strict=True)])
-        order = np.lexsort((i, g))
-        head = np.ones(len(g), bool)
-        head[1:] = g[order][1:] != g[order][:-1]
+        k = np.concatenate([np.frombuffer(x, np.uint64) for x in sent["d"].to_pylist()])
+        several = np.concatenate([_unbits(x, m) for x, m in zip(sent["c"].to_pylist(), n, strict=True)])
+        order = np.lexsort((i, k, g))
+        head = np.append(True, (g[order][1:] != g[order][:-1]) | (k[order][1:] != k[order][:-1]))
         least = np.empty(len(g), np.int64)
         least[order] = i[order][head][np.cumsum(head) - 1]
         wanted = several | (least < i)
         out, at = [], 0
-        for c, k in zip(sent["chunk"].to_pylist(), n, strict=True):
-            w = wanted[at : at + k]
-            if w.any():
-                out.append((c, bucket, g[at : at + k][w].tobytes(), least[at : at + k][w].tobytes(), b""))
-            at += k
+        for c, m in zip(sent["chunk"].to_pylist(), n, strict=True):
+            own = at + np.flatnonzero(wanted[at : at + m])
+            if len(own):
+                out.append((c, bucket, g[own].tobytes(), least[own].tobytes(), b"", k[own].tobytes()))
+            at += m
         return _sent(out)
 
     names = ["doc_id", "n_words", "n_removed", "spans", "kept"]
@@ -191,8 +210,9 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "te
         out: list[tuple] = []
         g = np.concatenate([np.frombuffer(x, np.uint64) for x in answers["a"].to_pylist()] or [np.zeros(0, np.uint64)])
         least = np.concatenate([np.frombuffer(x, np.int64) for x in answers["b"].to_pylist()] or [np.zeros(0, np.int64)])
-        order = np.argsort(g)
-        g, least = g[order], least[order]
+        k = np.concatenate([np.frombuffer(x, np.uint64) for x in answers["d"].to_pylist()] or [np.zeros(0, np.uint64)])
+        order = np.lexsort((k, g))
+        g, k, least = g[order], k[order], least[order]
         seen, low = np.zeros(1 << 22, bool), np.uint64((1 << 22) - 1)
         seen[g & low] = True
         for batch in slices(iter(docs.to_batches())):
@@ -200,11 +220,12 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "te
                 words = t.split()
                 gone = None
                 if len(words) >= WINDOW and len(g):
-                    w = gram_hashes(hashes(words), WINDOW)
+                    h = hashes(words)
+                    w = gram_hashes(h, WINDOW)
                     maybe = np.flatnonzero(seen[w & low])
                     if len(maybe):
-                        near = np.minimum(np.searchsorted(g, w[maybe]), len(g) - 1)
-                        hit = maybe[(g[near] == w[maybe]) & (least[near] < i)]
+                        same, near = _found(g, k, w[maybe], second_gram_hashes(h, WINDOW)[maybe])
+                        hit = maybe[same][least[near[same]] < i]
                         if len(hit):
                             delta = np.zeros(len(words) + 1, np.int32)
                             delta[hit] += 1

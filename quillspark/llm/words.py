@@ -46,16 +46,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+_MULT_2 = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def gram_hashes(h: np.ndarray, n: int, mult=_MULT) -> np.ndarray:
     """A 64-bit hash of each n consecutive word hashes."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        out += h[k : len(h) - n + 1 + k] * _MULT[k]
+        out += h[k : len(h) - n + 1 + k] * mult[k]
     return mix(out)
 
 
+def second_gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Another one, by factors of its own, of words that are scrambled first: 128 bits in all."""
+    return gram_hashes(mix(h ^ _MULT_2[63]), n, _MULT_2)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """Whole texts as UTF-8; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]

@@ -11,8 +11,8 @@ A file (all integers little-endian):
             u32 ids a block, u8 bits a plane (1 or 8), u8 planes, u64 ids, b"TOKPLN01"
 
 A chunk is one block of `block_ids` ids (the last of a file may be shorter), so a reader seeks to any id by the chunk
-index. `planes` planes are stored (two byte planes by default, for ids below 65,536); an id that needs more raises
-ValueError, so nothing is lost. Files are written under a name of their own and then renamed, so a task that is lost or
+index. As many planes are stored as the largest id of the tokenizer's vocabulary, or the end id, needs (two byte planes below
+65,536, three below 16,777,216); where `planes` is given, an id that needs more raises ValueError, so nothing is lost. Files are written under a name of their own and then renamed, so a task that is lost or
 runs twice leaves no half file under a final name; what counts is the manifest that the write returns.
 
 `write_token_files(docs, path)`: range-partitions by id, sorts, encodes and writes; returns a manifest (a row for each
@@ -45,6 +45,11 @@ NO_ID = -(2**63)
 LEVEL = 1
 
 
+def planes_for(largest: int, bits: int) -> int:
+    """Planes that ids up to the largest need."""
+    return max(1, -(-largest.bit_length() // bits))
+
+
 def to_planes(ids: np.ndarray, bits: int, planes: int) -> list[bytes]:
     """Byte planes (bits 8: plane k has byte k of each id) or bit planes (bits 1: plane k has bit k, 8 ids a byte)."""
     if bits == 8:
@@ -161,11 +166,12 @@ def _open(path: str):
 
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text: str = "text",
-    bits: int = 8, planes: int = 2, block_ids: int = BLOCK_IDS,
+    bits: int = 8, planes: int | None = None, block_ids: int = BLOCK_IDS,
 ) -> list[dict]:
     """Writes the files and returns the manifest in order: file, size, n_docs, n_tokens, start."""
     where, inner = _open(path)
     where.create_dir(inner, recursive=True)
+    planes = planes or planes_for(max(encoder(tokenizer).largest_id(), end_id), bits)
     rows = docs.select(docs[id_column].cast("long").alias("i"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
     ordered = rows.repartitionByRange(F.col("i").asc_nulls_first()).sortWithinPartitions(F.col("i").asc_nulls_first(), "t")
 

@@ -107,6 +107,9 @@ class Encoder:
             self.units[unit] = got
         return got
 
+    def largest_id(self) -> int:
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.cuts or sys.byteorder != "little":

@@ -167,3 +167,14 @@ def test_token_files_odd_rows(spark, odd, empty, tmp_path):
     assert [r["start"] for r in got] == [sum(len(w[2]) for w in want[:k]) for k in range(len(want))]
     none = token_files.write_token_files(empty, f"file://{tmp_path}/e", PATH, 0)
     assert token_files.read_token_files(spark, f"file://{tmp_path}/e", none).count() == 0
+
+
+def test_planes_follow_the_ids(spark, tmp_path):
+    """An end id beyond 65,536 gets a third byte plane; seventeen bit planes."""
+    df = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    for bits, planes in ((8, 3), (1, 17)):
+        path = f"file://{tmp_path}/p{bits}"
+        assert token_files.planes_for(100_000, bits) == planes
+        manifest = token_files.write_token_files(df, path, PATH, 100_000, bits=bits)
+        got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_files.read_token_files(spark, path, manifest).collect()}
+        assert got == {1: ids_of("one two", 100_000), 2: [100_000]}

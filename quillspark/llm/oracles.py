@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.llm.licenses import BLOCK, LOWER, NOT_WORD, STEP, TEMPLATES, THRESHOLD, UPPER, template_sets
-from quillspark.llm.url_filter import RULES, SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS
+from quillspark.llm.licenses import LOWER, NOT_WORD, TEMPLATES, THRESHOLD, UPPER, template_sets
+from quillspark.llm.url_filter import RULES, SOFT_TERMS, STRICT_TERMS
 
 
 def _quoted(x: str) -> str:
@@ -34,7 +34,7 @@ WITH parts AS (
   FROM hosts
 )
 SELECT page_id, host, path, rule,
-       CASE {verdict} WHEN {strict} >= 1 OR {soft} >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+       CASE {verdict} WHEN {strict} >= 1 OR {soft} >= 2 THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """
 
@@ -57,7 +57,11 @@ m AS (
          len(list_filter(words, lambda x: suffix(x, '!!'))) AS n_shouts
   FROM w LEFT JOIN covered USING (r)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits AS failed_bits
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits AS failed_bits,
+       n_lines::BIGINT AS n_lines, n_caps::BIGINT AS n_caps_words, n_shouts::BIGINT AS n_shouts,
+       concat_ws(',', CASE WHEN bits & 3 = 0 THEN 'base' END, CASE WHEN bits & 15 = 0 THEN 'v1' END, CASE WHEN bits = 0 THEN 'v2' END) AS kept_by,
+       CASE bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'capitals'
+         WHEN 32 THEN 'shouting' WHEN 64 THEN 'short_words' WHEN 128 THEN 'long_words' END AS sole_rule
 FROM (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (4 * n_symbols > n_words)::BIGINT
   + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (2 * n_caps > n_words)::BIGINT + 32 * (4 * n_shouts > n_words)::BIGINT
   + 64 * (word_chars < 2 * n_words)::BIGINT + 128 * (word_chars > 25 * n_words)::BIGINT) AS bits FROM m)
@@ -66,7 +70,7 @@ FROM (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_wor
 
 def _license_sql() -> str:
     templates = ", ".join(
-        f"({t}, {_quoted(label)}, {len(s)}, [{', '.join(map(_quoted, sorted(s)))}])" for t, (label, s) in enumerate(template_sets(TEMPLATES))
+        f"({t}, {_quoted(label)}, {len(s)}, {step}, [{', '.join(map(_quoted, sorted(s)))}])" for t, (label, s, step) in enumerate(template_sets(TEMPLATES))
     )
     at = lambda k, w: f"words[i+{k}] = {_quoted(w)}"
     return rf"""
@@ -79,11 +83,12 @@ places AS (
   FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE list_contains(words, 'license'))
 ),
 base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM places WHERE label IS NOT NULL GROUP BY r),
-templates(t, label, n, terms) AS (VALUES {templates}),
-blocks AS (SELECT r, words[k*{STEP}+1 : k*{STEP}+{BLOCK}] AS b FROM (
-  SELECT r, words, unnest(range(0, greatest(1, ceil((len(words) - {BLOCK}) / {STEP}::DOUBLE)::INT + 1))) AS k FROM w)),
-found AS (SELECT r, label, len(list_intersect(terms, b)) / n::DOUBLE AS c FROM blocks, templates
-  WHERE len(list_intersect(terms, b)) >= greatest(1, ceil({THRESHOLD} * n - 1e-9))),
+templates(t, label, n, step, terms) AS (VALUES {templates}),
+blocks AS (SELECT r, step, list_distinct(words[k*step+1 : k*step+2*step]) AS b FROM (
+  SELECT r, words, step, unnest(range(0, greatest(1, ceil((len(words) - 2 * step) / step::DOUBLE)::INT + 1))) AS k
+  FROM w, (SELECT DISTINCT step FROM templates) WHERE list_has_any(words, (SELECT flatten(list(terms)) FROM templates)))),
+found AS (SELECT r, label, len(list_intersect(terms, b)) / n::DOUBLE AS c FROM blocks JOIN templates USING (step)
+  WHERE list_has_any(b, terms) AND len(list_intersect(terms, b)) >= greatest(1, ceil({THRESHOLD} * n - 1e-9))),
 method AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS c FROM found GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

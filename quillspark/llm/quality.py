@@ -2,7 +2,11 @@
 
 `measure(docs)`: each document is read once (an Arrow function; no shuffle) and gets its measurements.
 `ledger(measured)`: every rule is evaluated once over the measurements; bit r of `failed_bits` says that rule r failed.
+`store(ledger, path)`, `stored(spark, path)`: the ledger as a Parquet table with the rules' names and predicates, which are
+compared when it is read: bits of rules that have changed since raise ValueError, rules appended since are missing in it. So
+later policies over the same rules are applied to what is stored, without reading a text again.
 `apply_policy(ledger, version)`: a policy is a versioned bit mask; a document is kept if it fails no rule in the mask.
+`attributed(ledger, version)`: the versions that keep each document, and the one rule without which the policy would keep it.
 `ablation(ledger, version)`: per rule of a policy, how many documents fail it, fail only it, and would be kept without
 it. Bits are counted first (at most one row for each distinct bit set), so that what is shuffled doesn't grow with the
 documents.
@@ -17,11 +21,12 @@ Words are runs of anything but 0x20 and 0x09-0x0D.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.words import slices, texts
@@ -131,6 +136,32 @@ def apply_policy(ledger_df: DataFrame, version: str = CURRENT) -> DataFrame:
     return ledger_df.withColumn("kept", passes(version)).withColumn("policy", F.lit(version))
 
 
+def attributed(ledger_df: DataFrame, version: str = CURRENT) -> DataFrame:
+    """Adds kept_by (versions that keep it, sorted, comma-joined) and sole_rule (null unless exactly one rule of the policy
+    fails)."""
+    by = F.array_join(F.filter(F.array(*[F.when(passes(v), F.lit(v)) for v in sorted(POLICIES)]), lambda v: v.isNotNull()), ",")
+    failed = F.col("failed_bits").bitwiseAND(F.lit(policy_mask(version)).cast("long"))
+    sole = F.lit(None).cast("string")
+    for name in POLICIES[version]:
+        sole = F.when(failed == BIT[name], F.lit(name)).otherwise(sole)
+    return ledger_df.withColumns({"kept_by": by, "sole_rule": sole})
+
+
+def store(ledger_df: DataFrame, path: str) -> None:
+    """Writes a ledger with the rules that its bits stand for."""
+    ledger_df.write.parquet(f"{path}/ledger")
+    rules = [(r, name, predicate) for r, (name, predicate) in enumerate(RULES)]
+    ledger_df.sparkSession.createDataFrame(rules, "bit int, name string, predicate string").coalesce(1).write.parquet(f"{path}/rules")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger; its rules must be the first of RULES."""
+    rules = [(r["name"], r["predicate"]) for r in spark.read.parquet(f"{path}/rules").orderBy("bit").collect()]  # a row for each rule
+    if rules != list(RULES[: len(rules)]):
+        raise ValueError(f"rules have changed since: {json.dumps(rules)}")
+    return spark.read.parquet(f"{path}/ledger")
+
+
 def ablation(ledger_df: DataFrame, version: str = CURRENT) -> DataFrame:
     """rule, n_failed, n_only (of the policy's rules, it alone failed), n_kept (by the policy), n_kept_without it."""
     mask = policy_mask(version)

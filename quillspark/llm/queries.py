@@ -23,10 +23,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.apply_policy(quality.ledger(quality.measure(table(spark, sf_dir, "documents"))))
+    judged = quality.attributed(quality.apply_policy(quality.ledger(quality.measure(table(spark, sf_dir, "documents")))))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality.passes("base")).alias("base_failed"), "kept", "failed_bits",
+        (~quality.passes("base")).alias("base_failed"), "kept", "failed_bits", "n_lines", "n_caps_words", "n_shouts", "kept_by", "sole_rule",
     )
 
 
@@ -46,8 +46,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
-    warc.write_warc(table(spark, sf_dir, "pages"), path)
-    captures = warc.transactions(warc.read_warc(spark, path)).where("response.record_type is not null")
+    files = [m["file"] for m in warc.write_warc(table(spark, sf_dir, "pages"), path)]
+    captures = warc.transactions(warc.read_warc(spark, path, files)).where("response.record_type is not null")
     return captures.select(*[f"response.{c}" for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")])
 
 

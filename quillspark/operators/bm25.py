@@ -3,12 +3,20 @@
 The index are three tables: postings (uid, token, tf, length), which can be stored sorted by token; term_stats (token, df,
 idf); corpus_stats (n, avgdl; one row). A search touches the postings of the queries' tokens only. Filters choose among
 documents but don't change the statistics.
+
+`search` scores documents where they are: each is once reduced to the numbers and counts of the queries' tokens; frequencies
+and lengths are added up from these; then a batch of documents meets a block of queries in one matrix product, and only the
+k best of the batch are shuffled, not a row for each document that shares a word with a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +24,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import numbers, text
 
 K1, B = 1.5, 0.75
+#: Queries that go to each task at once, and documents of a matrix: bounds of memory.
+QUERY_BLOCK, DOC_BLOCK = 512, 512
 
 
 @dataclass
@@ -108,17 +118,136 @@ def top_k(scored: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, filter_: Column | None = None, digits: int | None = None, stable: bool = False) -> DataFrame:
-    """query_id, uid, score, rank. digits: scores are rounded before they are ranked, for comparison across engines."""
-    terms = query_terms(queries, stable)
-    index = index_for(docs, terms, stable=stable)
-    scored = scores(index, terms, None if filter_ is None else docs.where(filter_))
-    if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
-    return top_k(scored, k)
+def _reduced(docs: DataFrame, vocabulary: dict[str, int], eligible: Column, stable: bool) -> DataFrame:
+    """uid, length, ok, and of the vocabulary's tokens in a document: terms (their numbers) and counts, as int32."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the queries' tokens
+    folded = text.latin_fold(F.col("text")) if stable else text.fold(F.col("text"))
+    worded = docs.select("uid", F.coalesce(eligible, F.lit(False)).alias("ok"), text.tokens(F.coalesce(folded, F.lit(""))).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
+        for b in batches:
+            lists = b.column(2)
+            ends, flat = np.asarray(lists.offsets), lists.values.dictionary_encode()
+            number = np.array([get(t, -1) for t in flat.dictionary.to_pylist()], np.int32)
+            every = number[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int32)
+            terms, counts = [], []
+            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                own = every[s:e]
+                t, n = np.unique(own[own >= 0], return_counts=True)
+                terms.append(t.astype(np.int32).tobytes())
+                counts.append(n.astype(np.int32).tobytes())
+            length = pa.array(np.diff(ends).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), length, b.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["uid", "length", "ok", "terms", "counts"])
+
+    kind = dict(worded.dtypes)["uid"]
+    return worded.mapInArrow(run, f"uid {kind}, length long, ok boolean, terms binary, counts binary")
+
+
+def _frequencies(reduced: DataFrame, size: int) -> np.ndarray:
+    """A3: how many documents hold each token of the vocabulary; a row a token and task is added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for b in batches:
+            n += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32), minlength=size)
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own])], ["term", "n"])
+
+    out = np.zeros(size)
+    for r in reduced.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out
+
+
+def _best(reduced: DataFrame, queries: list[tuple[object, dict[int, int]]], kind: str, idf: np.ndarray, avgdl: float, k: int, digits: int | None, k1: float, b: float) -> DataFrame:
+    """query_id, uid, score: of each batch of documents the k best of each query of a block."""
+    terms = sorted({t for _, own in queries for t in own})
+    place = np.full(len(idf), -1, np.int64)
+    place[terms] = np.arange(len(terms))
+    weight = np.zeros((len(terms), len(queries)))
+    for q, (_, own) in enumerate(queries):
+        for t, n in own.items():
+            weight[place[t], q] = n * idf[t]
+    ids = [q for q, _ in queries]
+    sent = reduced.sparkSession.sparkContext.broadcast((place, weight, ids))  # QUERY_BLOCK queries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, weight, ids = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOC_BLOCK):
+                part = whole.slice(at, DOC_BLOCK)
+                n = np.array([len(x) // 4 for x in part.column(2).to_pylist()])
+                term = place[np.frombuffer(b"".join(part.column(2).to_pylist()), np.int32)]
+                tf = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int32).astype(float)
+                row = np.repeat(np.arange(len(n)), n)
+                length = part.column(1).to_numpy()[row]
+                here = term >= 0
+                row, term, tf, length = row[here], term[here], tf[here], length[here]
+                cols, inverse = np.unique(term, return_inverse=True)
+                x = np.zeros((len(n), len(cols)))
+                x[row, inverse] = tf * (k1 + 1) / (tf + k1 * (1.0 - b + b * length / avgdl))
+                s = x @ weight[cols]
+                s = s if digits is None else np.round(s, digits)
+                found, q = best_rows(s, part.column(0), k, s > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], part_type), part.column(0).take(pa.array(found)), pa.array(s[found, q])], ["query_id", "uid", "score"])
+
+    part_type = _ARROW.get(kind, pa.string())
+    return reduced.where("ok").select("uid", "length", "terms", "counts").mapInArrow(run, f"query_id {kind}, uid {dict(reduced.dtypes)['uid']}, score double")
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def best_rows(s: np.ndarray, uid: pa.Array, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each column of s, equal ones by uid. Only what can be among them is sorted."""
+    rows, columns = s.shape
+    masked = s if allowed is None else np.where(allowed, s, -np.inf)
+    if rows > k:
+        least = np.partition(masked, rows - k, axis=0)[rows - k]
+        row, column = np.nonzero((masked >= least) & (masked > -np.inf))
+    else:
+        row, column = np.nonzero(masked > -np.inf)
+    own = uid.take(pa.array(np.unique(row)))
+    order = np.empty(rows, np.int64)
+    order[np.unique(row)[pa.compute.sort_indices(own).to_numpy()]] = np.arange(len(own))
+    sort = np.lexsort((order[row], -masked[row, column], column))
+    row, column = row[sort], column[sort]
+    nth = np.arange(len(column)) - np.searchsorted(column, column)
+    return row[nth < k], column[nth < k]
+
+
+def search(
+    docs: DataFrame, queries: DataFrame, k: int = 10, filter_: Column | None = None, digits: int | None = None, stable: bool = False,
+    unique: bool = False, k1: float = K1, b: float = B,
+) -> DataFrame:
+    """query_id, uid, score, rank. digits: scores are rounded before they are ranked, for comparison across engines. unique: uids
+    are known to be; otherwise of repeated ones the first counts (W9)."""
+    if k <= 0:
+        raise ValueError("top_k is positive")
+    _check(k1, b)
+    spark = docs.sparkSession
+    asked: dict[object, dict[str, int]] = {}
+    for r in query_terms(queries, stable).toLocalIterator():  # the stated queries
+        asked.setdefault(r["query_id"], {})[r["token"]] = r["qtf"]
+    vocabulary = {t: i for i, t in enumerate(sorted({t for own in asked.values() for t in own}))}
+    kind, uid = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["uid"]
+    eligible = F.lit(True) if filter_ is None else filter_
+    reduced = _reduced(docs if unique else deduplicated(docs), vocabulary, eligible, stable).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = reduced.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")).first()
+    df = _frequencies(reduced, len(vocabulary))
+    idf = np.log(1.0 + (stats["n"] - df + 0.5) / (df + 0.5))
+    numbered = [(q, {vocabulary[t]: n for t, n in own.items()}) for q, own in sorted(asked.items(), key=str)]
+    found = spark.createDataFrame([], f"query_id {kind}, uid {uid}, score double")
+    for at in range(0, len(numbered) if stats["n"] else 0, QUERY_BLOCK):
+        found = found.union(_best(reduced, numbered[at : at + QUERY_BLOCK], kind, idf, stats["avgdl"] or 1.0, k, digits, k1, b))
+    return top_k(found, k)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Each uid once: the first by case, number and text."""
-    first = F.row_number().over(Window.partitionBy("uid").orderBy("case_id", "paragraph_number", "text"))
-    return docs.withColumn("n", first).where("n = 1").drop("n")
+    """Each uid once: the first by case, number and text. Only rows whose uid is repeated are ranked."""
+    repeated = docs.groupBy("uid").count().where("count > 1").select("uid")
+    order = [c for c in ("case_id", "paragraph_number", "text") if c in docs.columns]
+    first = F.row_number().over(Window.partitionBy("uid").orderBy(*order))
+    some = docs.join(repeated, "uid", "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
+    return docs.join(repeated, "uid", "left_anti").select(*docs.columns).union(some.select(*docs.columns))

@@ -12,14 +12,16 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import numbers
-from quillspark.operators.bm25 import top_k
+from quillspark.operators.bm25 import best_rows, top_k
 
 #: Query vectors that go to each task at once: a bound of what is sent.
 QUERY_BLOCK = 4096
+#: Vectors that meet them at once.
+BATCH_ROWS = 1024
 
 
 class Embedder(Protocol):
@@ -71,10 +73,16 @@ def bad_vectors(points: DataFrame, dimension: int) -> DataFrame:
 
 
 def upsert(points: DataFrame, new: DataFrame, key: str = "uid") -> DataFrame:
-    """New points replace stored ones of the same id."""
+    """New points replace stored ones of the same id. The ids of `new` are unique (`latest` makes them so)."""
     return points.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def latest(new: DataFrame, order: str, key: str = "uid") -> DataFrame:
+    """Of points with the same id the last in `order`."""
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    return new.withColumn("__n", last).where("__n = 1").drop("__n")
+
+
 def search_expression(points: DataFrame, queries: DataFrame, k: int = 10, filter_: Column | None = None, digits: int | None = None) -> DataFrame:
     """query_id, uid, score, rank; queries: query_id, vector. The query set meets all points."""
     eligible = points if filter_ is None else points.where(filter_)
@@ -101,18 +109,18 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, filter_: Column |
                 if not b.num_rows:
                     continue
                 v = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-                s = v @ matrix.T
-                if digits is not None:
-                    s = np.round(s, digits)
-                uid = b.column(0)
-                take = min(k, b.num_rows)
-                rank = np.argsort(np.argsort(np.array(uid.to_pylist(), dtype=object if pa.types.is_string(uid.type) else None), kind="stable"))
-                order = np.lexsort((np.broadcast_to(rank[:, None], s.shape), -s), axis=0)[:take]
-                q = np.broadcast_to(np.arange(len(ids)), order.shape)
-                flat, qs = order.T.ravel(), q.T.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in qs]), uid.take(pa.array(flat)), pa.array(s[flat, qs])], ["query_id", "uid", "score"]
-                )
+                for at in range(0, b.num_rows, BATCH_ROWS):
+                    s, uid = v[at : at + BATCH_ROWS] @ matrix.T, b.column(0).slice(at, BATCH_ROWS)
+                    s = s if digits is None else np.round(s, digits)
+                    once = uid.dictionary_encode()
+                    if len(once.dictionary) < len(uid):  # W2: of a repeated point the best counts
+                        own = once.indices.to_numpy()
+                        order = np.argsort(own, kind="stable")
+                        s, uid = np.maximum.reduceat(s[order], np.searchsorted(own[order], np.arange(len(once.dictionary))), axis=0), once.dictionary
+                    row, q = best_rows(s, uid, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[i] for i in q.tolist()]), uid.take(pa.array(row)), pa.array(s[row, q])], ["query_id", "uid", "score"]
+                    )
 
         kind = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *eligible.schema.fields)}
         return eligible.mapInArrow(run, f"query_id {kind['query_id']}, uid {kind['uid']}, score double")
@@ -125,6 +133,6 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, filter_: Column |
         if not block:
             return top_k(queries.select("query_id", F.lit(None).alias("uid"), F.lit(0.0).alias("score")).limit(0), k)
         found = one(block) if found is None else found.union(one(block))
-    return top_k(found, k)
+    return top_k(found.groupBy("query_id", "uid").agg(F.max("score").alias("score")), k)
 
 

@@ -11,25 +11,26 @@ from quillspark.operators.bm25 import top_k
 RRF_K, DEPTH = 10, 50
 
 
-def positions(ranked: DataFrame) -> DataFrame:
+def positions(ranked: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """First position of each uid in its list; positions count duplicates and aren't compacted.
 
     ranked: query_id, uid, score, rank. Lists that come with distinct uids are unchanged.
     """
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "uid"))
+    at = F.row_number().over(Window.partitionBy(*by).orderBy("rank", "uid"))
     placed = ranked.withColumn("uid", F.trim(F.col("uid"))) if dict(ranked.dtypes)["uid"] == "string" else ranked
     return (
         placed.withColumn("position", at)
-        .groupBy("query_id", "uid")
+        .groupBy(*by, "uid")
         .agg(F.min(F.struct("position", "score")).alias("p"))
-        .select("query_id", "uid", F.col("p.position").alias("rank"), F.col("p.score").alias("score"))
+        .select(*by, "uid", F.col("p.position").alias("rank"), F.col("p.score").alias("score"))
     )
 
 
-def fuse(bm25: DataFrame, dense: DataFrame, k: int | Column = RRF_K, top: int | None = None, digits: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """query_id, uid, bm25_rank, bm25_score, dense_rank, dense_score, rrf_score, hybrid_rank."""
+def fuse(bm25: DataFrame, dense: DataFrame, k: int | Column = RRF_K, top: int | None = None, digits: int | None = None, by: tuple[str, ...] = ("query_id",), unique: bool = False) -> DataFrame:
+    """unique: lists are known to hold each uid once; otherwise its first position counts (W3). query_id, uid, bm25_rank, bm25_score, dense_rank, dense_score, rrf_score, hybrid_rank."""
     if isinstance(k, bool) or isinstance(k, int) and k <= 0:
         raise ValueError("k is positive")
+    bm25, dense = (bm25, dense) if unique else (positions(bm25, by), positions(dense, by))
     named = lambda df, name: df.select(*by, "uid", F.col("rank").alias(f"{name}_rank"), F.col("score").alias(f"{name}_score"))
     both = named(bm25, "bm25").join(named(dense, "dense"), [*by, "uid"], "full_outer")
     part = lambda c: F.coalesce(numbers.rrf_term(F.col(c), k), F.lit(0.0))

@@ -9,9 +9,22 @@ from quillspark.operators import paragraphs as P
 from quillspark.operators.records import normalize_records
 
 
-def outcomes(good_and_bad: DataFrame, stored: DataFrame | None = None, order: str = "line_number") -> DataFrame:
+def prepared(lines: DataFrame, default_source: str | None = None, stable: bool = False) -> DataFrame:
+    """Normalised records whose paragraphs can be stored: a record with a paragraph of a bad number fails as a whole. Lines that
+    their source calls a problem fail with it."""
+    rows = normalize_records(lines, default_source=default_source, stable=stable)
+    if "problem" in lines.columns:
+        rows = rows.withColumn("reason", F.coalesce("problem", "reason"))
+    bad = F.col("reason").isNull() & P.paragraphs_of(F.when(F.col("reason").isNull(), F.col("raw_text"))).isNull()
+    return rows.withColumn("reason", F.when(bad, "bad paragraph number").otherwise(F.col("reason")))
+
+
+def outcomes(good_and_bad: DataFrame, stored: DataFrame | None = None, order: tuple[str, ...] = ("line_number",)) -> DataFrame:
     """Adds outcome: failed, duplicate (its hash is stored, or stands at an earlier line) or inserted."""
-    first = F.row_number().over(Window.partitionBy("document_hash", F.col("reason").isNull()).orderBy(order))
+    # Failed lines have no hash that counts: each is a group of its own, so they don't meet in one task.
+    own = F.concat(F.lit("line "), F.concat_ws(" ", *[F.col(c).cast("string") for c in order]))
+    group = F.when(F.col("reason").isNull(), F.col("document_hash")).otherwise(own)
+    first = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     ranked = good_and_bad.withColumn("nth", first)
     known = F.lit(False)
     if stored is not None:
@@ -43,7 +56,8 @@ def ingest(spark: SparkSession, lines: DataFrame, store: str, default_source: st
     again and readers, who join with cases, take once (`read_store` drops repeated ids).
     """
     stored = read_cases(spark, store)
-    out = outcomes(normalize_records(lines, default_source=default_source), stored).persist()
+    order = ("path", "line_number") if "path" in lines.columns else ("line_number",)
+    out = outcomes(prepared(lines, default_source), stored, order).persist()
     new = out.where(F.col("outcome") == "inserted")
     fields = ["title", "case_number", "court", "judgment_date", "source", "source_url", "raw_text", "document_hash"]
     found = P.with_uids(P.deduplicate(P.extract_paragraphs(new)))

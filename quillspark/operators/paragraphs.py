@@ -24,7 +24,7 @@ _PARAGRAPHS = ArrayType(StructType().add("paragraph_number", "integer").add("pag
 
 
 def split_paragraphs(raw: str | None) -> list[dict] | None:
-    """(number, page, text) of each paragraph in order; null if a marker has number 0 or one that no integer holds."""
+    """(number, page, text) of each paragraph in order; null if a paragraph with text has number 0 or one that no integer holds."""
     clean = text.clean_text(raw or "")
     if not clean:
         return []
@@ -32,8 +32,6 @@ def split_paragraphs(raw: str | None) -> list[dict] | None:
     marked = [[(m, line) for line in page.split("\n") for m in [_MARKER.match(line)]] for page in pages]
     number = lambda m: int(next(g for g in m.groups()[:4] if g))
     taken = {number(m) for page in marked for m, _ in page if m}
-    if taken and not 0 < min(taken) <= max(taken) <= _MAX:
-        return None
     free = (n for n in range(1, _MAX) if n not in taken)
     out: list[dict] = []
     for at, page in enumerate(marked, 1):
@@ -48,6 +46,8 @@ def split_paragraphs(raw: str | None) -> list[dict] | None:
                 runs.append((None, []))
         for n, lines in runs:
             body = text.clean_text(" ".join(x for x in lines if x))
+            if body and n is not None and not 0 < n <= _MAX:
+                return None
             if body:
                 out.append({"paragraph_number": next(free) if n is None else n, "page_number": at if len(pages) > 1 else None, "text": body})
     return out

@@ -27,6 +27,12 @@ DATE = "make_date(cast(2000 + doc_id % 25 as int), cast(1 + doc_id % 12 as int),
 TOKEN_SQL = text.TOKEN.replace("'", "''")
 
 
+def text_literal(value: str) -> str:
+    """A string in SQL."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -58,7 +64,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return bm25.search(_docs(spark, d), _queries(spark, d), k, digits=DIGITS, stable=True)
+    return bm25.search(_docs(spark, d), _queries(spark, d), k, digits=DIGITS, stable=True, unique=True)
 
 
 def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -72,7 +78,7 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _fused(spark: SparkSession, d: str, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     both = lists or (_bm25(spark, d, 50), _dense(spark, d, 50))
-    return fusion.fuse(*both, fusion.RRF_K, digits=9)
+    return fusion.fuse(*both, fusion.RRF_K, digits=9, unique=True)
 
 
 def _reranked(spark: SparkSession, d: str, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -247,18 +253,31 @@ def record_normalize(spark, d):
     return out.select("line_number", "reason", "title", "case_number", "court", numbers.iso(F.col("judgment_date")).alias("judgment_date"), F.when(good, F.col("document_hash")).alias("document_hash"))
 
 
+def _marked_records(spark, d) -> DataFrame:
+    """The records, and one for each document that has a paragraph of number 0, with text (it fails) or without (it doesn't)."""
+    more = table(spark, d, "documents").select(
+        (-1 - F.col("doc_id")).alias("line_number"),
+        F.to_json(F.struct(F.concat(F.lit("1. one "), F.col("doc_id"), F.lit("\n0."), F.when(F.col("doc_id") % 2 == 0, " zero").otherwise("\n\ntwo")).alias("text"))).alias("value"),
+    )
+    return _raw_records(spark, d).union(more)
+
+
+_MARKED = """m AS (SELECT line_number, h, reason FROM r
+  UNION ALL SELECT -1 - doc_id, 'marked ' || doc_id, CASE WHEN doc_id % 2 = 0 THEN 'bad paragraph number' END FROM documents)"""
+
+
 @query(f"""
-WITH {_RECORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY h, reason IS NULL ORDER BY line_number) AS nth FROM r)
+WITH {_RECORDS}, {_MARKED}, o AS (SELECT *, row_number() OVER (PARTITION BY h, reason IS NULL ORDER BY line_number) AS nth FROM m)
 SELECT count(*) FILTER (reason IS NULL AND nth = 1) AS inserted, count(*) FILTER (reason IS NULL AND nth > 1) AS duplicates, count(reason) AS failed FROM o""")
 def ingest_counters(spark, d):
-    return ingest.counters(ingest.outcomes(records.normalize_records(_raw_records(spark, d), stable=True)))
+    return ingest.counters(ingest.outcomes(ingest.prepared(_marked_records(spark, d), stable=True)))
 
 
 @query(f"""
-WITH {_RECORDS}
-SELECT line_number, reason FROM r WHERE reason IS NOT NULL""")
+WITH {_RECORDS}, {_MARKED}
+SELECT line_number, reason FROM m WHERE reason IS NOT NULL""")
 def ingest_failures(spark, d):
-    return ingest.failures(ingest.outcomes(records.normalize_records(_raw_records(spark, d), stable=True))).select("line_number", "reason")
+    return ingest.failures(ingest.outcomes(ingest.prepared(_marked_records(spark, d), stable=True))).select("line_number", "reason")
 
 
 @query(f"""
@@ -309,7 +328,7 @@ def bm25_topk(spark, d):
 @query(f"WITH {_bm25_sql('d.court = ' + chr(39) + 'src1' + chr(39) + ' AND year(d.judgment_date) = 2001')} SELECT query_id, uid, score, rank::INT AS rank FROM bm25 WHERE rank <= 10")
 def bm25_filtered(spark, d):
     docs = filters.with_filter_columns(_docs(spark, d), stable=True)
-    return bm25.search(docs, _queries(spark, d), 10, filters.Filters(court=" SRC1 ", year=2001).predicate(), DIGITS, stable=True)
+    return bm25.search(docs, _queries(spark, d), 10, filters.Filters(court=" SRC1 ", year=2001).predicate(), DIGITS, stable=True, unique=True)
 
 
 @query(f"WITH {_dense_sql()} SELECT query_id, uid, score, rank::INT AS rank FROM dense WHERE rank <= 10")
@@ -505,9 +524,9 @@ SELECT query_id::VARCHAR AS query_id, problem FROM (
   UNION ALL SELECT query_id, 'provenance differs' FROM gold WHERE uid % 5 = 1)
 UNION ALL SELECT NULL, 'another number of queries'""")
 def gold_violations(spark, d):
-    """Against a store that lacks every fifth document and has another case number for every fifth."""
-    stored = _docs(spark, d).where("uid % 5 != 0").select(
-        F.col("uid").cast("string").alias("paragraph_uid"), F.col("court").alias("case_name"), F.when(F.col("uid") % 5 != 1, F.col("case_number")).alias("case_number"),
+    """Against a store that has other ids for every fifth document and another case number for every fifth."""
+    stored = _docs(spark, d).select(
+        F.when(F.col("uid") % 5 != 0, F.col("uid").cast("string")).otherwise(F.concat(F.lit("x"), "uid")).alias("paragraph_uid"), F.col("court").alias("case_name"), F.when(F.col("uid") % 5 != 1, F.col("case_number")).alias("case_number"),
         F.lit(1).alias("paragraph_number"), F.lit(None).cast("int").alias("page_number"),
     )
     return gold.violations(_gold_set(spark, d), stored, expected=0)
@@ -531,7 +550,7 @@ def gold_categories(spark, d):
 
 
 @query(f"""WITH c AS (SELECT DISTINCT source || '/' || lang AS case_id, CASE WHEN lang = 'de' THEN ' ' ELSE source END AS court FROM documents UNION ALL SELECT 'none', NULL),
-p AS (SELECT source || '/' || lang AS case_id, text, CASE WHEN doc_id % 3 = 0 THEN 1 END AS page_number FROM documents WHERE doc_id % 7 <> 0),
+p AS (SELECT source || '/' || lang AS case_id, text, CASE WHEN doc_id % 3 = 0 THEN 1 END AS page_number FROM documents UNION ALL SELECT 'none', '  ', NULL UNION ALL SELECT 'none', 'short', 2),
 n AS (SELECT c.case_id, count(p.case_id) AS n FROM c LEFT JOIN p USING (case_id) GROUP BY 1)
 SELECT (SELECT count(*) FROM n) AS cases, (SELECT min(n) FROM n) AS min_paragraphs, (SELECT median(n) FROM n) AS median_paragraphs, (SELECT quantile_disc(n, 0.95) FROM n) AS p95_paragraphs, (SELECT max(n) FROM n) AS max_paragraphs,
 (SELECT count(*) FROM c WHERE court IS NULL OR trim(court) = '') AS missing_court, count(*) AS paragraphs, count(*) FILTER (length(trim(text)) = 0) AS empty,
@@ -541,7 +560,8 @@ def corpus_audit(spark, d):
     docs = table(spark, d, "documents").withColumn("case_id", F.concat_ws("/", "source", "lang"))
     cases = docs.select("case_id", F.when(F.col("lang") == "de", " ").otherwise(F.col("source")).alias("court")).distinct()
     cases = cases.union(spark.createDataFrame([("none", None)], "case_id string, court string"))
-    rows = docs.where("doc_id % 7 <> 0").select("case_id", "text", F.when(F.col("doc_id") % 3 == 0, 1).alias("page_number"))
+    rows = docs.select("case_id", "text", F.when(F.col("doc_id") % 3 == 0, 1).alias("page_number"))
+    rows = rows.union(spark.createDataFrame([("none", "  ", None), ("none", "short", 2)], "case_id string, text string, page_number int"))
     return audit.corpus_audit(cases, rows, 60)
 
 
@@ -566,9 +586,11 @@ def duplicate_summary(spark, d):
     return audit.duplicates(table(spark, d, "documents").select(text.document_hash(text.normalize_stable(F.col("text"))).alias("h")), "h")
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id FROM labels WHERE doc_id % 3 = 0 OR doc_id NOT IN (SELECT doc_id FROM documents)")
 def foreign_keys(spark, d):
-    return orphans(table(spark, d, "labels"), "doc_id", table(spark, d, "documents").where("doc_id % 3 <> 0"), "doc_id").select("doc_id")
+    """Every third key is altered, so that it has no parent."""
+    key = F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    return orphans(table(spark, d, "labels").withColumn("doc_id", key), "doc_id", table(spark, d, "documents"), "doc_id").select("doc_id")
 
 
 @query("""SELECT vec_id AS uid, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, -1 FROM embeddings WHERE vec_id % 4 = 0""")
@@ -633,6 +655,71 @@ def verdict_summary(spark, d):
     return claims.summary(claims.assemble(*_verdicts(spark, d)))
 
 
+_SHORT = "|".join(claims.ABBREVIATIONS)
+_STRIP = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
+_PLAIN = r"regexp_replace(%s, '\x04E[0-9]+\x05', '', 'g')"
+_ANSWER_HEAD = "SUMMARY\nTherefore, overall: Smith v. Jones Ltd. was cited [E2]. It was Acme Co. [E1] The court agreed.\n- Please consult a lawyer now.\n"
+_CLAIM_SQL = rf"""
+a AS (SELECT doc_id, {text_literal(_ANSWER_HEAD)} || regexp_replace(replace(text, ', ', ' [E' || (3 + doc_id % 4) || '], '), '\. ', '. [E' || (1 + doc_id % 3) || '] ', 'g') AS answer FROM documents),
+l AS (SELECT doc_id, i, {_STRIP % "line"} AS line FROM (SELECT doc_id, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) AS i FROM a)),
+c AS (SELECT *, regexp_replace(line, '\[(E[1-9][0-9]*)\]', chr(4) || '\1' || chr(5), 'g') AS x, {_STRIP % r"regexp_replace(line, '\[E[1-9][0-9]*\]', '', 'g')"} AS bare FROM l),
+b AS (SELECT * FROM c WHERE line <> '' AND NOT (prefix(line, '#') OR len(regexp_extract_all(bare, '[A-Za-z0-9]+')) = 0 OR (len(regexp_extract_all(bare, '[A-Za-z0-9]+')) <= 12
+  AND (suffix(bare, ':') OR (upper(bare) = bare AND regexp_matches(bare, '\p{{L}}') AND NOT regexp_matches(bare, '[.!?]$')))))),
+s0 AS (SELECT doc_id, i, regexp_replace({_STRIP % r"regexp_replace(x, '^(?:#{1,6}\s+|[-*•]\s+|[0-9]+[.)]\s+)', '')"}, '\.([ \t]*\x04)', chr(3) || '\1', 'g') AS x FROM b),
+s1 AS (SELECT doc_id, i, regexp_replace(x, '(^|[^A-Za-z])([A-Za-z]|(?i:{_SHORT}))\.', '\1\2' || chr(2), 'g') AS x FROM s0),
+s2 AS (SELECT doc_id, i, regexp_replace(x, '(^|[^A-Za-z])([A-Za-z]|(?i:{_SHORT}))\.', '\1\2' || chr(2), 'g') AS x FROM s1),
+s3 AS (SELECT doc_id, i, string_split(regexp_replace(x, '([.!?\x03][ \t]*(?:\x04E[0-9]+\x05[ \t]*)*)([\p{{Lu}}\p{{Nd}}"''(\[{{#*•-])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM s2),
+p AS (SELECT doc_id, i, unnest(parts) AS x, generate_subscripts(parts, 1) AS j FROM s3),
+t AS (SELECT doc_id, i, j, list_sort(list_distinct(regexp_extract_all(x, '\x04(E[0-9]+)\x05', 1))) AS ids,
+  trim(regexp_replace(regexp_replace(trim(regexp_replace(translate({_PLAIN % "x"}, chr(2) || chr(3), '..'), '\s+', ' ', 'g')), ' +([.,;:!?])', '\1', 'g'), '(?i)^(?:(?:{"|".join(claims.CONNECTIVES)})(?:\s*[:,;-]\s*|\s+))+', '')) AS text FROM p),
+f AS (SELECT *, trim(text, ' ' || chr(9) || '-:;') AS core FROM t),
+claims AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n, text, ids FROM f
+  WHERE len(regexp_extract_all(core, '[A-Za-z0-9]+')) >= 2 AND NOT regexp_matches(core, '(?i)^(?:{"|".join(claims.IMMATERIAL)})$') AND core <> {text_literal(evidence.NO_EVIDENCE)})"""
+
+
+def _text_answers(spark, d) -> DataFrame:
+    """Answers out of the documents' texts, with citations, abbreviations, headings and lists."""
+    body = F.replace("text", F.lit(", "), F.concat(F.lit(" [E"), 3 + F.col("doc_id") % 4, F.lit("], ")))
+    cited = F.replace(body, F.lit(". "), F.concat(F.lit(". [E"), 1 + F.col("doc_id") % 3, F.lit("] ")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit(_ANSWER_HEAD), cited).alias("answer"))
+
+
+@query(f"WITH {_CLAIM_SQL} SELECT doc_id AS query_id, 'C' || n AS claim_id, text, array_to_string(ids, ',') AS citations FROM claims")
+def claim_segments(spark, d):
+    return claims.claims(_text_answers(spark, d)).select("query_id", "claim_id", "text", F.array_join(F.array_sort("citation_ids"), ",").alias("citations"))
+
+
+_FULL = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "".join(chr(ord(c) + 0xFEE0) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+
+
+@query("SELECT doc_id, md5(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ') || ' fi ss') AS folded FROM documents")
+def fold_full_width(spark, d):
+    """The default path: texts in full-width letters, with a ligature and a sharp s, fold to what the plain ones do."""
+    wide = F.concat(F.translate("text", *_FULL), F.lit(" ﬁ ß"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.fold(wide)).alias("folded"))
+
+
+def _twice(docs: DataFrame) -> DataFrame:
+    """Every document twice, the second time with a longer text."""
+    return docs.select("uid", "text").union(docs.select("uid", F.concat("text", F.lit(" zzz zzz"))))
+
+
+@query(f"WITH {_bm25_sql()} SELECT query_id, uid, score, rank::INT AS rank FROM bm25 WHERE rank <= 10")
+def bm25_repeated(spark, d):
+    """Repeated ids: the first by text counts, so the ranking is that of the documents."""
+    return bm25.search(_twice(_docs(spark, d)), _queries(spark, d), 10, digits=DIGITS, stable=True).select("query_id", "uid", "score", "rank")
+
+
+@query(f"""WITH {_bm25_sql()}
+SELECT query_id, uid, round(1e0 / (10 + 2 * rank - 1), 9) AS rrf_score, rank::INT AS hybrid_rank FROM bm25 WHERE rank <= 10""")
+def fusion_repeated(spark, d):
+    """A list that holds each id twice in a row, fused with an empty one: the first position of each counts."""
+    once = _bm25(spark, d, 10)
+    twice = once.union(once)
+    fused = fusion.fuse(twice.withColumn("rank", F.col("rank") * 2), once.limit(0), fusion.RRF_K, digits=9)
+    return fused.select("query_id", "uid", "rrf_score", "hybrid_rank")
+
+
 def _manifest(spark, d) -> DataFrame:
     k = F.col("page_id") % 10
     return table(spark, d, "pages").select(

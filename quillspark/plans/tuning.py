@@ -27,7 +27,7 @@ def sweep(bm25: DataFrame, dense: DataFrame, configs: DataFrame, top: int = 10,
     """E7, JN16: the fused lists of every experiment, in one plan over rankings that were made once."""
     at = lambda df, depth: df.crossJoin(configs).where(F.col("rank") <= F.col(depth))  # noqa: E731  a dozen configurations
     keys = ("experiment_id", "rrf_k", "query_id")
-    return fusion.fuse(at(bm25, "bm25_depth"), at(dense, "dense_depth"), F.col("rrf_k"), top, digits, keys)
+    return fusion.fuse(at(bm25, "bm25_depth"), at(dense, "dense_depth"), F.col("rrf_k"), top, digits, keys, unique=True)
 
 
 def candidate_recall(rankings: list[DataFrame], gold: DataFrame, depth: int) -> DataFrame:

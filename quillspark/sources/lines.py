@@ -16,20 +16,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Line numbers need the whole file in order, so each file is split in one task; use many files for large inputs. A byte
     order mark at the start is dropped, line ends are left out.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    lines = files.select("path", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\n", -1)).alias("k", "raw"))
-    last = F.max("k").over(_by_path())
-    numbered = lines.withColumn("last", last).where((F.col("k") < F.col("last")) | (F.col("raw") != ""))
+    return numbered(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """The lines of files (path, content); what follows the last line feed counts only if there is any."""
+    whole = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"\n\z", "")
+    lines = files.where(F.octet_length("content") > 0).select("path", F.posexplode(F.split(whole, "\n", -1)).alias("k", "raw"))
     raw = F.encode(F.when(F.col("k") == 0, F.regexp_replace("raw", "^ï»¿", "")).otherwise(F.col("raw")), "ISO-8859-1")
     ok = F.is_valid_utf8(raw.cast("string"))
     value = F.rtrim(F.when(ok, raw.cast("string")).otherwise(F.col("raw")), F.lit("\r"))
-    return numbered.select("path", (F.col("k") + 1).cast("long").alias("line_number"), value.alias("value"), F.when(~ok, "not UTF-8").alias("problem"))
-
-
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("path")
+    return lines.select("path", (F.col("k") + 1).cast("long").alias("line_number"), value.alias("value"), F.when(~ok, "not UTF-8").alias("problem"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -151,6 +151,9 @@ def query_features(query: Column, case_names: Column) -> Column:
 
 
 def register(spark) -> None:
-    """The functions for SQL."""
+    """The functions for SQL: T1, folding, T5 and T6 of folded text; `paragraphs.register` adds the table function of U2."""
     spark.udf.register("normalize_text", normalize_text)
     spark.udf.register("fold_text", fold)
+    quoted = TOKEN.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION text_tokens(folded STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(folded, '{quoted}', 0)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION metadata_value(folded STRING) RETURNS STRING RETURN nullif(trim(regexp_replace(folded, '(?U)\\\\s+', ' ')), '')")

@@ -95,6 +95,28 @@ def categorize(rows: DataFrame, min_characters: int = MIN_CHARACTERS, **hosts) -
     return kept.withColumn("first", first).withColumn("category", category).drop("early", "wrong", "first")
 
 
+def canonical_records(manifest: DataFrame, raw_text: str = "raw_text") -> DataFrame:
+    """what an extracted document brings to the ingest."""
+    names = {"source": "source_name", "source_url": "direct_pdf_url", "raw_text": raw_text}
+    fields = ("title", "case_number", "court", "judgment_date", "source", "source_url", "raw_text")
+    return manifest.select(*[F.col(names.get(f, f)).cast("string").alias(f) for f in fields])
+
+
+def failure_records(categorized: DataFrame, error: str = "error") -> DataFrame:
+    """category, record_number, title, direct_pdf_url, error of what wasn't downloaded."""
+    failed = categorized.where(F.col("category") != "downloaded")
+    return failed.select("category", "record_number", "title", "direct_pdf_url", F.col(error).cast("string").alias("error"))
+
+
+def audit_document(categorized: DataFrame) -> DataFrame:
+    """a row for each category, also empty ones: count, judgments (downloaded ones of that type), and record_numbers in order."""
+    every = categorized.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
+    judgment = (F.col("category") == "downloaded") & (F.lower(F.trim("document_type")) == DOCUMENT_TYPE)
+    found = categorized.groupBy("category").agg(F.count("*").alias("n"), F.count_if(judgment).alias("judgments"))
+    zero = F.lit(0).cast("long")
+    return every.join(found, "category", "left").select("category", F.coalesce("n", zero).alias("n"), F.coalesce("judgments", zero).alias("judgments"))
+
+
 RESUME_KEYS = ("title", "case_number", "court", "judgment_date", "source_name", "direct_pdf_url", "sha256")
 
 

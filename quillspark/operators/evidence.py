@@ -30,6 +30,20 @@ def integrity_error(answer: Column, declared: Column, supplied: Column) -> Colum
     )
 
 
+def extractive_answers(evidence: DataFrame, n: int = 3, limit: int = 240) -> DataFrame:
+    """A deterministic provider: query_id, answer, declared from the first n pieces of evidence, each cited.
+
+    evidence: query_id, evidence_id, text.
+    """
+    number = F.substring("evidence_id", 2, 10).cast("int")
+    first = evidence.withColumn("n", number).where(F.col("n") <= n)
+    bare = F.rtrim(F.regexp_replace(text.snippet(F.col("text"), limit), r"\[E[1-9][0-9]*\]", ""), F.lit(" .!?…"))
+    line = F.concat(bare, F.lit(" ["), "evidence_id", F.lit("]."))
+    rows = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line"), "evidence_id"))).alias("e"))
+    answer = F.array_join(F.transform("e", lambda x: x["line"]), "\n")
+    return rows.select("query_id", answer.alias("answer"), F.transform("e", lambda x: x["evidence_id"]).alias("declared"))
+
+
 def prompts(evidence: DataFrame, fields: tuple[str, ...] = ("evidence_id", "uid", "text")) -> DataFrame:
     """query_id, evidence_ids, prompt: query and evidence as delimited JSON that can't forge the delimiters."""
     number = F.substring("evidence_id", 2, 10).cast("int")

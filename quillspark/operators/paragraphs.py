@@ -73,3 +73,17 @@ def deduplicate(paragraphs: DataFrame, by: str = "document_hash") -> DataFrame:
 def with_uids(paragraphs: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     """T4."""
     return paragraphs.withColumn("paragraph_uid", paragraph_uid(F.col("document_hash"), F.col("paragraph_number"), F.col("text_hash"), namespace))
+
+
+@F.udtf(returnType="paragraph_number int, page_number int, text string")
+class Paragraphs:
+    """U2 as a table function: the paragraphs of a text; none if it has a bad number."""
+
+    def eval(self, raw: str):
+        for p in split_paragraphs(raw) or ():
+            yield p["paragraph_number"], p["page_number"], p["text"]
+
+
+def register(spark) -> None:
+    """extract_paragraphs(text) for SQL."""
+    spark.udtf.register("extract_paragraphs", Paragraphs)

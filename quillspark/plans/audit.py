@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import numbers
@@ -54,3 +56,20 @@ def coverage_samples(stored: DataFrame, indexed: DataFrame, key: str = "uid", n:
     lack = stored.select(key).join(indexed.select(key), key, "left_anti").distinct().orderBy(key).limit(n).withColumn("problem", F.lit("missing"))
     stale = indexed.select(key).join(stored.select(key), key, "left_anti").distinct().orderBy(key).limit(n).withColumn("problem", F.lit("stale"))
     return lack.union(stale)
+
+
+def merged_counts(spark: SparkSession, audits: dict[str, str]) -> DataFrame:
+    """label, counter, n of earlier audit documents (label: JSON text); counters are integers of 0 or more."""
+    rows = []
+    for label, document in audits.items():
+        counts = json.loads(document).get("counts")
+        if not isinstance(counts, dict) or any(type(n) is not int or n < 0 for n in counts.values()):
+            raise ValueError(f"{label}: counts are missing, or not all of them are integers of 0 or more")
+        rows += [(label, name, n) for name, n in counts.items()]
+    return spark.createDataFrame(rows, "label string, counter string, n long")
+
+
+def defects(coverage: DataFrame) -> int:
+    """Missing, stale and repeated ids of a coverage row: the command ends with 1 if there are any."""
+    row = coverage.select((F.col("missing") + F.col("stale") + F.col("repeated")).alias("n")).first()
+    return row["n"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.deploy import shared_dir, ship, table
 from quillspark.functions import numbers, text
-from quillspark.operators import acquisition, bm25, claims, dense, evidence, filters, fusion, ingest, paragraphs, records, rerank
+from quillspark.operators import acquisition, bm25, claims, dense, evidence, filters, fusion, ingest, paragraphs, payloads, records, rerank
 from quillspark.plans import audit, evaluation, gold, tuning
 from quillspark.schemas import orphans
 
@@ -655,6 +655,41 @@ def verdict_summary(spark, d):
     return claims.summary(claims.assemble(*_verdicts(spark, d)))
 
 
+@query(f"""SELECT doc_id AS case_id, 'p' || doc_id AS paragraph_uid, 'T' AS title, ' N ' || doc_id AS case_number, 'n ' || doc_id AS case_number_filter, source AS court, lower(source) AS court_filter,
+CASE WHEN doc_id % 4 > 0 THEN strftime({DATE}, '%Y-%m-%d') END AS judgment_date, NULL AS source_url, CASE WHEN doc_id % 4 > 0 THEN year({DATE}) END::INT AS year, 1 AS paragraph_number, NULL::INT AS page_number, text FROM documents""")
+def point_payloads(spark, d):
+    docs = table(spark, d, "documents")
+    cases = docs.select(F.col("doc_id").alias("id"), F.lit("T").alias("title"), F.concat(F.lit(" N "), "doc_id").alias("case_number"), F.col("source").alias("court"), F.when(F.col("doc_id") % 4 > 0, F.expr(DATE)).alias("judgment_date"), F.lit(None).cast("string").alias("source_url"))
+    rows = docs.select(F.concat(F.lit("p"), "doc_id").alias("paragraph_uid"), F.col("doc_id").alias("case_id"), F.lit(1).alias("paragraph_number"), F.lit(None).cast("int").alias("page_number"), "text")
+    return payloads.payloads(rows, cases, stable=True)
+
+
+@query("""SELECT event_id AS query_id, 'u' || user_id AS uid, CASE WHEN user_id % 5 > 0 THEN user_id END AS case_id, CASE WHEN user_id % 3 > 0 THEN 'c' END AS court, CASE WHEN event_id % 2 = 0 THEN DATE '2020-02-29' END AS judgment_date, rank,
+CASE WHEN user_id % 7 = 0 THEN 'point and paragraph differ' WHEN user_id % 5 = 0 THEN 'case_id or paragraph_number isn''t an integer' WHEN user_id % 11 = 0 THEN 'page_number isn''t an integer' WHEN event_id % 2 = 1 AND user_id % 2 = 0 THEN 'judgment_date isn''t an ISO date' END AS error
+FROM (SELECT *, 1 AS rank FROM events)""")
+def payload_decoding(spark, d):
+    """Each event as a hit that comes twice, with payloads that break a rule."""
+    u, e = F.col("user_id"), F.col("event_id")
+    payload = F.create_map(
+        F.lit("paragraph_uid"), F.when((u % 3 == 0) & (u % 7 > 0), "").otherwise(F.concat(F.lit("u"), u)),
+        F.lit("case_id"), F.when(u % 5 > 0, u.cast("string")).otherwise("x"), F.lit("paragraph_number"), F.lit("7"),
+        F.lit("page_number"), F.when(u % 11 == 0, "x"), F.lit("court"), F.when(u % 3 > 0, " c ").otherwise("  "),
+        F.lit("judgment_date"), F.when(e % 2 == 0, "2020-02-29").when(u % 2 == 0, "2020-02-30").otherwise(""),
+    )
+    point = F.when(u % 7 == 0, F.concat(F.lit("v"), u)).otherwise(F.concat(F.lit("u"), u))
+    hits = table(spark, d, "events").select(e.alias("query_id"), point.alias("point_id"), F.lit(0.5).alias("score"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"), payload.alias("payload"))
+    return payloads.decoded(hits).select("query_id", "uid", "case_id", "court", "judgment_date", "rank", "error")
+
+
+@query(rf"""WITH {_bm25_sql()}, top AS (SELECT query_id, uid, rank FROM bm25 WHERE rank <= 10), {_GOLD.strip()}
+SELECT 'bm25' AS system, query_id, rank::INT AS position, uid, coalesce(grade, 0)::INT AS grade, length(text)::INT AS characters,
+CASE WHEN length(s) <= 240 THEN s ELSE rtrim(left(s, 239)) || '…' END AS snippet
+FROM (SELECT top.*, grade, d.text, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS s FROM top JOIN d USING (uid) LEFT JOIN gold USING (query_id, uid))""")
+def hit_summaries(spark, d):
+    top = _bm25(spark, d, 10).select(F.lit("bm25").alias("system"), "query_id", F.col("rank").alias("position"), "uid")
+    return tuning.hit_summaries(top, _gold(spark, d), _docs(spark, d))
+
+
 _SHORT = "|".join(claims.ABBREVIATIONS)
 _STRIP = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
 _PLAIN = r"regexp_replace(%s, '\x04E[0-9]+\x05', '', 'g')"
@@ -757,6 +792,22 @@ def resume_filter(spark, d):
     return acquisition.to_extract(rows, rows.where("record_number % 3 = 0"), keys).select("record_number")
 
 
+@query(f"""WITH e AS (SELECT page_id, page_id % 40 AS h, CASE WHEN {_SOURCE_SQL} IS NOT NULL THEN 'missing_metadata' WHEN page_id % 10 = 3 THEN 'failed_urls' WHEN page_id % 10 = 4 THEN 'invalid_pdfs'
+WHEN page_id % 10 = 5 THEN 'scanned_pdfs' WHEN page_id % 10 = 6 THEN 'invalid_pdfs' END AS early, page_id % 10 = 7 AS wrong FROM pages),
+f AS (SELECT *, min(page_id) FILTER (early IS NULL AND NOT wrong) OVER (PARTITION BY h) AS first FROM e),
+c AS (SELECT CASE WHEN early IS NOT NULL THEN early WHEN page_id > first THEN 'duplicates' WHEN wrong THEN 'invalid_pdfs' ELSE 'downloaded' END AS category FROM f),
+k(category) AS (VALUES {', '.join(f"('{c}')" for c in acquisition.CATEGORIES)})
+SELECT category, count(c.category) AS n, count(c.category) FILTER (category = 'downloaded') AS judgments FROM k LEFT JOIN c USING (category) GROUP BY category""")
+def acquisition_audit(spark, d):
+    return acquisition.audit_document(acquisition.categorize(_manifest(spark, d), **_HOSTS))
+
+
+@query("SELECT 't' AS title, CASE WHEN page_id % 10 <> 0 THEN 'n' END AS case_number, 'c' AS court, CASE WHEN page_id % 10 = 1 THEN '2020-13-01' ELSE '2020-01-31' END AS judgment_date, 's' AS source, regexp_replace(url, '^http:', 'https:') AS source_url, length(CASE page_id % 10 WHEN 5 THEN 'short JUDGMENT' WHEN 6 THEN repeat('word ', 100) ELSE 'J U D G M E N T ' || repeat('word ', 100) END)::INT AS size FROM pages")
+def canonical_records(spark, d):
+    out = acquisition.canonical_records(_manifest(spark, d))
+    return out.select("title", "case_number", "court", "judgment_date", "source", "source_url", F.length("raw_text").alias("size"))
+
+
 def _shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)

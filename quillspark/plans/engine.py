@@ -60,9 +60,10 @@ class Engine:
         return project(rerank.rerank(full, self.scorer, self.candidate_k, top_k), mode)
 
     def _bm25(self, queries: DataFrame, eligible: DataFrame, k: int) -> DataFrame:
-        terms = bm25.query_terms(queries)
-        index = self.index or bm25.index_for(self.docs, terms)
-        return bm25.top_k(bm25.scores(index, terms, eligible), k)
+        if self.index is not None:
+            return bm25.top_k(bm25.scores(self.index, bm25.query_terms(queries), eligible), k)
+        marked = self.docs.join(eligible.withColumn("__eligible", F.lit(True)), "uid", "left")
+        return bm25.search(marked, queries, k, F.coalesce("__eligible", F.lit(False)))
 
     def _dense(self, queries: DataFrame, eligible: DataFrame, k: int) -> DataFrame:
         vectors = dense.embed(queries, self.embedder, ("query_id",), "query").withColumnRenamed("embedding", "vector")
@@ -73,13 +74,15 @@ class Engine:
         found = self.search(queries, "reranked", **options)
         return evidence.assign(found).join(self.docs.select("uid", "text"), "uid").join(queries, "query_id")
 
-    def answer(self, queries: DataFrame, provider, **options) -> DataFrame:
-        """query_id, answer, used_evidence_ids, error. provider(DataFrame of G2 prompts) -> query_id, answer, declared.
+    def answer(self, queries: DataFrame, provider=None, **options) -> DataFrame:
+        """query_id, answer, used_evidence_ids, error. provider(DataFrame of G2 prompts) -> query_id, answer, declared; without
+        one the extractive answers (G3).
 
         Queries without evidence get the fixed answer and don't reach the provider.
         """
-        asked = evidence.prompts(self.evidence(queries, **options))
-        said = asked.join(provider(asked), "query_id", "left")
+        found = self.evidence(queries, **options)
+        asked = evidence.prompts(found)
+        said = asked.join(evidence.extractive_answers(found) if provider is None else provider(asked), "query_id", "left")
         error = F.when(F.col("answer").isNull(), "no answer").otherwise(evidence.integrity_error(F.col("answer"), F.col("declared"), F.col("evidence_ids")))
         good = said.select("query_id", "answer", F.col("declared").alias("used_evidence_ids"), error.alias("error"))
         bare = queries.join(asked.select("query_id"), "query_id", "left_anti")

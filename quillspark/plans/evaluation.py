@@ -5,7 +5,9 @@ rankings: system, query_id, position, uid. gold: query_id, uid, grade. Results c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import numbers
@@ -97,3 +99,26 @@ def recompute_errors(stored: DataFrame, rankings: DataFrame, gold: DataFrame, to
     bad = [F.when(F.coalesce(F.abs(F.col(m) - F.col(f"r_{m}")) > tolerance, F.lit(True)) | ~F.col(m).between(0, 1), F.lit(m)) for m in METRICS]
     wrong = F.filter(F.array(*bad), lambda x: x.isNotNull())
     return both.select("system", "query_id", wrong.alias("metrics")).where(F.size("metrics") > 0)
+
+
+def read_artifacts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(per query, macro) of written artifacts; raises ValueError where they aren't whole."""
+    shape = ", ".join(["system string, query_id string", *(f"{m} double" for m in METRICS), "first_relevant_rank long, n_gold long, _corrupt string"])
+    rows = spark.read.schema(shape).option("columnNameOfCorruptRecord", "_corrupt").json(f"{folder}/per_query.jsonl")
+    if rows.where("_corrupt is not null or system is null or query_id is null").limit(1).count():
+        raise ValueError("per_query.jsonl holds a line that is no record")
+    means = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/metrics.json", wholetext=True).collect()))  # a row a system
+    if not isinstance(means, dict) or not all(isinstance(v, dict) and set(METRICS) <= set(v) for v in means.values()):
+        raise ValueError("metrics.json isn't an object of systems with all metrics")
+    kept = [(s, *(float(v[m]) for m in METRICS)) for s, v in means.items()]
+    return rows.drop("_corrupt"), spark.createDataFrame(kept, ", ".join(["system string", *(f"{m} double" for m in METRICS)]))
+
+
+def artifact_errors(per_query_rows: DataFrame, means: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """(system, problem) of stored means that aren't those of the stored records, or of values out of range."""
+    again = macro(per_query_rows).select("system", *[F.col(m).alias(f"r_{m}") for m in METRICS])
+    both = means.join(again, "system", "full_outer")
+    off = [F.coalesce(F.abs(F.col(m) - F.col(f"r_{m}")) > tolerance, F.lit(True)) for m in METRICS]
+    wrong = F.filter(F.array(*[F.when(o, F.lit(f"{m} differs")) for m, o in zip(METRICS, off, strict=True)]), lambda x: x.isNotNull())
+    bad = per_query_rows.where(" or ".join(f"not coalesce({m} between 0 and 1, false)" for m in METRICS))
+    return both.select("system", F.explode(wrong).alias("problem")).union(bad.select("system", F.lit("a record is out of range")).distinct())

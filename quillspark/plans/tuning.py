@@ -126,3 +126,29 @@ def ranks_of(gold: DataFrame, rankings: DataFrame) -> DataFrame:
     """The rank of each gold id in each system's list, null if absent."""
     systems = rankings.select("system").distinct()
     return gold.crossJoin(systems).join(rankings.select("system", "query_id", "uid", F.col("position").alias("rank")), ["system", "query_id", "uid"], "left")  # a few systems
+
+
+def hit_summaries(rankings: DataFrame, gold: DataFrame, docs: DataFrame, limit: int = 240) -> DataFrame:
+    """system, query_id, position, uid, grade (0 without a label), characters, snippet. docs: uid, text."""
+    graded = rankings.join(gold, ["query_id", "uid"], "left").join(docs.select("uid", "text"), "uid")
+    characters = F.length("text").alias("characters")
+    return graded.select("system", "query_id", "position", "uid", F.coalesce("grade", F.lit(0)).alias("grade"), characters, text.snippet(F.col("text"), limit).alias("snippet"))
+
+
+def error_sets(per_query_rows: DataFrame, bm25: str = "bm25", dense: str = "dense", hybrid: str = "hybrid", reranked: str = "reranked") -> DataFrame:
+    """(error_set, query_id) of the six comparisons of systems."""
+    systems = {"b": bm25, "d": dense, "h": hybrid, "r": reranked}
+    value = lambda s, m: F.max(F.when(F.col("system") == systems[s], F.col(m)))
+    wide = per_query_rows.groupBy("query_id").agg(
+        *[value(s, m).alias(f"{s}_{k}") for s in systems for k, m in (("recall", "recall_at_10"), ("ndcg", "ndcg_at_10"))]
+    )
+    sets = {
+        "bm25_succeeds_dense_fails": "b_recall > 0 and d_recall = 0",
+        "dense_succeeds_bm25_fails": "d_recall > 0 and b_recall = 0",
+        "hybrid_hurts_bm25": "h_ndcg < b_ndcg",
+        "rrf_helps_bm25": "h_ndcg > b_ndcg",
+        "reranker_helps_hybrid": "r_ndcg > h_ndcg",
+        "reranker_hurts_hybrid": "r_ndcg < h_ndcg",
+    }
+    named = F.array(*[F.when(F.expr(cond), F.lit(name)) for name, cond in sets.items()])
+    return wide.select(F.explode(F.filter(named, lambda x: x.isNotNull())).alias("error_set"), "query_id")

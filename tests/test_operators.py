@@ -303,3 +303,89 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["search", store, "second paragraph", "--mode", "hybrid"])
     cli.main(["audit", store])
     assert "Second." in capsys.readouterr().out
+
+
+# ---------------------------------------------------------------- round trips and small operators
+
+def test_ingest_without_loss(spark, tmp_path):
+    """A paragraph of number 0 fails its record; byte order marks, bad bytes and blank lines fail alone, with their numbers."""
+    from quillspark.streaming import ingest as stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    good = json.dumps({"title": "A", "text": "1. first\n2. second"})
+    bad = json.dumps({"title": "B", "text": "1. first\n0. zero here"})
+    bare = json.dumps({"title": "C", "text": "1. other\n0.\n\ntwo"})
+    (folder / "a.jsonl").write_bytes(b"\xef\xbb\xbf" + good.encode() + b"\n" + bad.encode() + b"\r\n\xff\xfe\n\n" + bare.encode())
+    store = str(tmp_path / "store")
+    stream.ingest_folder(spark, str(folder), store, str(tmp_path / "progress"))
+    cases, paragraphs = ingest.read_store(spark, store)
+    assert sorted(r["title"] for r in cases.collect()) == ["A", "C"]
+    assert sorted(r["text"] for r in paragraphs.collect()) == ["first", "other", "second", "two"]
+    failed = spark.read.parquet(f"{store}/failures").collect()
+    assert sorted((r["line_number"], r["reason"]) for r in failed) == [(2, "bad paragraph number"), (3, "not UTF-8"), (4, "blank line")]
+
+
+def test_repeated_ids(spark):
+    """Repeated ids count once."""
+    from quillspark.operators import dense, fusion
+
+    docs = spark.createDataFrame([(1, "apple pie"), (2, "pear tart"), (1, "apple pie")], "uid long, text string")
+    queries = spark.createDataFrame([(1, "apple")], "query_id long, query string")
+    once = bm25.search(docs.dropDuplicates(["uid"]), queries).collect()
+    assert bm25.search(docs, queries).collect() == once
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "uid long, embedding array<double>")
+    vector = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    assert [(r["uid"], r["rank"]) for r in dense.search(points.coalesce(1), vector, 2).orderBy("rank").collect()] == [(1, 1), (3, 2)]
+    new = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (9, 1, "c")], "uid long, at long, v string")
+    assert sorted((r["uid"], r["v"]) for r in dense.latest(new, "at").collect()) == [(1, "b"), (9, "c")]
+    ranked = spark.createDataFrame([(1, 10, 3.0, 1), (1, 10, 3.0, 2), (1, 11, 1.0, 3)], "query_id long, uid long, score double, rank int")
+    fused = fusion.fuse(ranked, ranked.where("uid = 10"), 10).orderBy("hybrid_rank").collect()
+    assert [(r["uid"], r["bm25_rank"], r["dense_rank"], r["hybrid_rank"]) for r in fused] == [(10, 1, 1, 1), (11, 3, None, 2)]
+
+
+def test_artifacts_round_trip(spark, tmp_path):
+    from quillspark.plans import audit, evaluation
+    from quillspark.sources import lines
+
+    rankings = spark.createDataFrame([("a", 1, 1, 5), ("a", 1, 2, 6), ("b", 1, 1, 7)], "system string, query_id long, position int, uid long")
+    labels = spark.createDataFrame([(1, 6, 3), (1, 8, 1)], "query_id long, uid long, grade int")
+    per_query = evaluation.per_query(rankings, labels)
+    lines.write_artifacts(per_query, evaluation.macro(per_query), str(tmp_path), ("a", "b"))
+    assert evaluation.artifact_errors(*evaluation.read_artifacts(spark, str(tmp_path))).count() == 0
+    text = (tmp_path / "metrics.json").read_text()
+    (tmp_path / "metrics.json").write_text(text.replace('"recall_at_10": 0.5', '"recall_at_10": 0.25'))
+    assert [(r["system"], r["problem"]) for r in evaluation.artifact_errors(*evaluation.read_artifacts(spark, str(tmp_path))).collect()] == [("a", "recall_at_10 differs")]
+    (tmp_path / "per_query.jsonl").write_text("{\n")
+    with pytest.raises(ValueError):
+        evaluation.read_artifacts(spark, str(tmp_path))
+    merged = audit.merged_counts(spark, {"x": '{"counts": {"pages": 3}}'})
+    assert tuple(merged.first()) == ("x", "pages", 3)
+    for wrong in ('{"counts": {"pages": -1}}', '{"counts": {"pages": true}}', "{}"):
+        with pytest.raises(ValueError):
+            audit.merged_counts(spark, {"x": wrong})
+
+
+def test_error_sets(spark):
+    from quillspark.plans import tuning
+
+    rows = [(s, 1, r, n) for s, r, n in (("bm25", 0.5, 0.4), ("dense", 0.0, 0.0), ("hybrid", 0.5, 0.3), ("reranked", 0.5, 0.9))]
+    df = spark.createDataFrame(rows, "system string, query_id long, recall_at_10 double, ndcg_at_10 double")
+    assert sorted(r["error_set"] for r in tuning.error_sets(df).collect()) == ["bm25_succeeds_dense_fails", "hybrid_hurts_bm25", "reranker_helps_hybrid"]
+
+
+def test_extractive_answers_and_functions(spark):
+    from quillspark.functions import text
+    from quillspark.operators import paragraphs
+
+    e = spark.createDataFrame([(1, "E2", "Second  text."), (1, "E1", "First [E9] text!"), (1, "E4", "no")], "query_id long, evidence_id string, text string")
+    r = evidence.extractive_answers(e).first()
+    assert (r["answer"], r["declared"]) == ("First  text [E1].\nSecond text [E2].", ["E1", "E2"])
+    text.register(spark)
+    paragraphs.register(spark)
+    assert tuple(spark.sql("SELECT text_tokens('a b''s c'), metadata_value('  x \u00a0 y '), metadata_value(' ')").first()) == (["a", "b's", "c"], "x y", None)
+    assert [tuple(x) for x in spark.sql("SELECT * FROM extract_paragraphs('2. b\n\nc')").collect()] == [(2, None, "b"), (1, None, "c")]
+    failed = spark.createDataFrame([("failed_urls", 3, "t", "u", "boom", "judgment"), ("downloaded", 4, "t", "u", None, "Judgment ")], "category string, record_number long, title string, direct_pdf_url string, error string, document_type string")
+    from quillspark.operators import acquisition
+
+    assert [tuple(x) for x in acquisition.failure_records(failed).collect()] == [("failed_urls", 3, "t", "u", "boom")]

@@ -47,9 +47,9 @@ from quillspark.llm.written import Written, written
 
 ITEMS, ITEM_TERMS = 2_000, 200_000
 BLOCK = 32
-RANK, OVERSAMPLE, ROUNDS, SEED = 96, 8, 2, 7
+RANK, OVERSAMPLE, ROUNDS, SEED = 64, 8, 2, 7
 COMMON, FLOOR = 0.1, 1.0
-COSINE = 0.42
+COSINE = 0.45
 PIECE = 64
 #: (terms of a block, longest piece that is searched for in passages of two of them), shortest first.
 SCALES = ((12, 24), (BLOCK, PIECE))
@@ -348,9 +348,9 @@ class Searched:
             for k in range(0, len(full), 1024):
                 for i in range(0, len(latent), _STEP):
                     cos = z[k : k + 1024] @ latent[i : i + _STEP].T
-                    for a, b in zip(*np.nonzero(cos >= cosine), strict=True):
-                        low = at + int(full[k + a]) * block
-                        yield int(owner[i + b]), low, min(low + 2 * block, len(doc)), float(cos[a, b])
+                    a, b = np.nonzero(cos >= cosine)
+                    low = at + full[k + a] * block
+                    yield from zip(owner[i + b].tolist(), low.tolist(), np.minimum(low + 2 * block, len(doc)).tolist(), cos[a, b].tolist(), strict=True)
 
 
 def scales(items: Items, space: np.ndarray) -> list[Searched]:
@@ -385,12 +385,27 @@ def _search(encoded: DataFrame, items: Items, space: np.ndarray, frequency: np.n
             have[doc] = True
             return np.add.reduceat(have[every] * times, first) >= need
 
-        def holds(k: int, region: np.ndarray) -> bool:
-            """An upper bound of the subsequence is enough."""
-            own, times = counts[k]
-            at = np.minimum(np.searchsorted(own, region), len(own) - 1)
-            have = np.bincount(at[own[at] == region], minlength=len(own))
-            return np.minimum(have, times).sum() >= lcs_answer * lengths[k]
+        members = [frozenset(own.tolist()) for own, _ in counts]
+        #: Distinct terms that must stand in a region: each that lacks costs the subsequence a term at least.
+        distinct = [len(own) - int(n - lcs_answer * n + 1e-9) for (own, _), n in zip(counts, lengths, strict=True)]
+
+        class Regions:
+            """Distinct terms of stretches of a document, by whole blocks."""
+
+            def __init__(self, doc: np.ndarray):
+                self.doc, self.blocks, self.joined = doc, {}, {}
+
+            def holds(self, k: int, low: int, high: int) -> bool:
+                """The stretch, up to the ends of its blocks, has enough of an item's terms."""
+                key = (low // BLOCK, -(-high // BLOCK))
+                if key not in self.joined:
+                    parts = []
+                    for b in range(*key):
+                        if b not in self.blocks:
+                            self.blocks[b] = set(self.doc[b * BLOCK : (b + 1) * BLOCK].tolist())
+                        parts.append(self.blocks[b])
+                    self.joined[key] = set().union(*parts)
+                return len(members[k] & self.joined[key]) >= distinct[k]
 
         def check(k: int, doc: np.ndarray, low: int, high: int) -> tuple[float, float] | None:
             """Shares of the item and of its answer, if they are enough."""
@@ -408,12 +423,15 @@ def _search(encoded: DataFrame, items: Items, space: np.ndarray, frequency: np.n
             whole = exact.found(doc)
             best: dict[int, tuple[float, float, float]] = {}
             none = (0.0, 0.0, 0.0)
-            may = possible(doc) & ~np.isin(ids, list(whole))
+            may = possible(doc)
+            if whole:
+                may &= ~np.isin(ids, list(whole))
+            regions = Regions(doc)
             for one in searched if may.any() else ():
                 for k, low, high, cos in one.candidates(doc, space, cosine, may):
                     n = lengths[k]
                     low, high = max(0, low - n), min(len(doc), high + n)
-                    if may[k] and best.get(k, none)[0] < 1.0 and holds(k, doc[low:high]):
+                    if best.get(k, none)[0] < 1.0 and regions.holds(k, low, high):
                         got = check(k, doc, low, high)
                         if got:
                             best[k] = max(best.get(k, none), (*got, cos))

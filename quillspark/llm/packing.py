@@ -28,6 +28,8 @@ from quillspark.llm.words import slices
 
 SEQUENCE = 2048
 GROUP_DOCS = 1024
+#: Groups of a partition, about, where there are more than the session's shuffle partitions would give.
+PARTITION_GROUPS = 4
 #: Sequence ids: group * BLOCKS + a running number.
 BLOCKS = 1 << 24
 
@@ -113,7 +115,8 @@ def pack(
     rows = docs.select(docs[id_column].cast("long").alias("i"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
     groups = max(1, -(-docs.count() // group_docs))
     grouped = rows.withColumn("g", F.pmod(F.xxhash64("i", "t"), F.lit(groups)).cast("long"))
-    dealt = grouped.repartition("g").sortWithinPartitions("g", "i", F.length("t"), F.xxhash64("t"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // PARTITION_GROUPS)
+    dealt = grouped.repartition(parts, "g").sortWithinPartitions("g", "i", F.length("t"), F.xxhash64("t"))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "piece_ids"]
 

@@ -13,9 +13,9 @@ the hashes. No words: fingerprint zero, linked like any other. Null text is empt
   over), which saturates above the radius, and the comparison is abandoned once all have exceeded it. The 32 planes of the
   key agree and are skipped.
 * Of a bucket only a spanning forest leaves (fewer edges than members).
-* A bucket of more than `BUCKET` members is not compared in one task. Its members are linked exactly through midpoints:
-  two fingerprints differ in at most two bits if and only if some value differs from either in at most one. Each member
-  gives 65 such values; what shares one is linked, and at most 65 distinct fingerprints can share one.
+* A bucket of more than `BUCKET` members is dealt once more in the same way: its members' other 32 bits are cut into four blocks of
+  8, of which linked ones agree in two, so each goes to six smaller buckets, in which 48 bits agree. They are compared by the
+  same bit slices over the 16 planes that are left, so at most 65,536 distinct fingerprints meet in one task. No link is lost.
 
 `near_duplicates(docs)`: doc_id, fingerprint, component_id (the smallest doc_id that links reach, itself included).
 Null doc_ids are kept: they link like others, and component_id is null if a component has no other. Repeated rows are
@@ -137,75 +137,64 @@ def _bucket_rows(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*entries)).alias("e")).select(F.shiftleft("e.p", 32).bitwiseOR(F.col("e.key")).alias("key"), "fp")
 
 
+def _redealt(rows: DataFrame) -> DataFrame:
+    """key, fp by sub: (pair of bytes, their bits) of the four bytes that the key hasn't."""
+    pair = F.shiftrightunsigned("key", 32)
+    other = F.lit(None).cast("long")
+    for p, held in enumerate(PAIRS):
+        c, d = (k for k in range(4) if k not in held)
+        block = lambda k: F.shiftrightunsigned("fp", BLOCK_BITS * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        other = F.when(pair == p, F.shiftleft(block(d), 16).bitwiseOR(block(c))).otherwise(other)
+    byte = lambda k: F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(0xFF).cast("long"))
+    subs = [F.shiftleft(byte(b), 8).bitwiseOR(byte(a)).bitwiseOR(F.lit(p << 16).cast("long")) for p, (a, b) in enumerate(PAIRS)]
+    return rows.select("key", F.explode(F.array(*subs)).alias("sub"), "fp")
+
+
+def _planes_left(key: int, sub: int) -> list[int]:
+    """The planes in which members of a bucket can differ."""
+    blocks = [k for k in range(4) if k not in PAIRS[key >> 32]]
+    if sub < 0:
+        return [16 * k + i for k in blocks for i in range(16)]
+    return [16 * blocks[k // 2] + 8 * (k % 2) + i for k in range(4) if k not in PAIRS[sub >> 16] for i in range(8)]
+
+
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges u, v among distinct fingerprints (column fp)."""
     rows = _bucket_rows(fps)
-    dealt = rows.repartition("key").sortWithinPartitions("key", "fp")
+    # Written first: Spark then knows its size, and broadcasts it only below spark.sql.autoBroadcastJoinThreshold.
+    large = written(rows.groupBy("key").count().where(F.col("count") > bucket).select("key"), "large-buckets")
+    small = rows.join(large, "key", "left_anti").select("key", F.lit(-1).cast("long").alias("sub"), "fp")
+    dealt = small.union(_redealt(rows.join(large, "key", "left_semi"))).repartition("key", "sub").sortWithinPartitions("key", "sub", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges; for members of a bucket too large, (fp, null)."""
-        names = ["u", "v"]
+        """Buckets stream through in order; one is held at a time."""
+        held, own = [], None
 
-        def compare(key: int, fps: np.ndarray, u: list, v: list) -> None:
-            a, b = PAIRS[key >> 32]
-            order = [16 * k + i for k in range(4) if k not in (a, b) for i in range(16)]
-            signed = fps.view(np.int64)
-            for i, j in bucket_links(fps, order):
-                u.append(int(signed[i]))
-                v.append(int(signed[j]))
-
-        tail_key, tail, large = None, [], False  # the bucket that may go on in the next batch
-        held = 0
-
-        def flush(u: list, v: list) -> None:
-            if tail_key is not None and not large and held > 1:
-                compare(tail_key, np.concatenate(tail), u, v)
+        def found() -> Iterator[pa.RecordBatch]:
+            fps = np.concatenate(held)
+            if len(fps) > 1:
+                signed = fps.view(np.int64)
+                pairs = np.array(bucket_links(fps, _planes_left(*own)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(signed[pairs[:, 0]]), pa.array(signed[pairs[:, 1]])], ["u", "v"])
 
         for b in batches:
-            keys, fps = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-            if not len(keys):
+            if not b.num_rows:
                 continue
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(keys)]
-            u: list = []
-            v: list = []
-            for s, e in zip(starts, ends, strict=True):
-                last = e == len(keys)
-                if s == 0 and keys[0] == tail_key or last or s == 0:
-                    if int(keys[s]) != tail_key:
-                        flush(u, v)
-                        tail_key, tail, large, held = int(keys[s]), [], False, 0
-                    if large:
-                        part = fps[s:e].view(np.int64).tolist()
-                        u += part
-                        v += [None] * len(part)
-                        continue
-                    tail.append(fps[s:e].copy())
-                    held += e - s
-                    if held > bucket:
-                        part = np.concatenate(tail).view(np.int64).tolist()
-                        u += part
-                        v += [None] * len(part)
-                        large, tail = True, []
-                elif e - s > 1:
-                    if e - s > bucket:
-                        u += fps[s:e].view(np.int64).tolist()
-                        v += [None] * (e - s)
-                    else:
-                        compare(int(keys[s]), fps[s:e], u, v)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names)
-        u, v = [], []
-        flush(u, v)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names)
-
-    found = written(dealt.mapInArrow(run, "u long, v long"), "links")
-    # Members of large buckets, linked through midpoints.
-    crowd = found.where("v is null").select("u").distinct()
-    bits = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(64)])
-    middles = crowd.select("u", F.explode(bits).alias("bit")).select("u", F.col("u").bitwiseXOR(F.col("bit")).alias("m"))
-    star = middles.groupBy("m").agg(F.min("u").alias("v"), F.collect_set("u").alias("us")).where(F.size("us") > 1)
-    crossed = star.select(F.explode("us").alias("u"), "v").where("u != v").distinct()
-    return found.where("v is not null").union(crossed)
+            keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
+            fps = b.column(2).to_numpy().view(np.uint64)
+            cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                next_ = tuple(keys[:, s].tolist())
+                if held and next_ != own:
+                    if sum(map(len, held)) > 1:
+                        yield from found()
+                    held = []
+                own = next_
+                held.append(fps[s:e].copy())
+        if held:
+            yield from found()
+
+    return written(dealt.mapInArrow(run, "u long, v long"), "links")
 
 
 def classes(fps: DataFrame) -> DataFrame:
@@ -223,19 +212,3 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     heads = members.groupBy("root").agg(F.min("least").alias("component_id"))
     named = members.join(heads, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def group_heads(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, all columns: that with the smallest id (null ids last), then the smallest
-    hash of its text; of rows that agree in both, one."""
-    key = [F.coalesce(docs[id_column].cast("long"), F.lit((1 << 63) - 1)).alias("__ord"), F.xxhash64(docs[text].cast("string")).alias("__sig")]
-    keyed = docs.select("*", *key)
-    fps = written(fingerprints(keyed, text, ("__ord", "__sig")).groupBy("__ord", "__sig", "fp").count(), "fingerprints")
-    of = fps.join(classes(fps), "fp")
-    heads = of.groupBy("root").agg(F.min(F.struct("__ord", "__sig")).alias("head"))
-    lost = of.join(heads, "root").withColumn("gone", F.struct("__ord", "__sig") != F.col("head")).where("gone or count > 1")
-    # Written first: Spark then knows its size, and broadcasts it only below spark.sql.autoBroadcastJoinThreshold.
-    judged = keyed.join(written(lost.select("__ord", "__sig", "gone"), "lost"), ["__ord", "__sig"], "left")
-    alone = judged.where("gone is null").select(*docs.columns)
-    tied = judged.where("not gone").dropDuplicates(["__ord", "__sig"]).select(*docs.columns)
-    return alone.union(tied)

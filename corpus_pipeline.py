@@ -1,7 +1,12 @@
 """Pipeline over documents: quality rules, line dedup, near-dedup, benchmark decontamination, packing.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+Parquet and read again as the next stage's docs. All but the last return the columns of documents; further columns go.
+
+Defined results, of all stages: null texts count as empty, so quality rules reject them; null ids are kept and come after all
+others where ids are ordered. Repeated rows and rows with equal ids are judged each, until near dedup keeps one of each group of
+equal or similar texts: that with the smallest id, of equal ids that with the smallest hash of its text. Very long texts go
+through whole. Empty tables give no rows.
 """
 
 from __future__ import annotations

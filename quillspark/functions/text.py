@@ -57,17 +57,21 @@ def latin_fold(text: Column) -> Column:
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
+#: What T1 would change in an NFKC-stable text.
+_UNCLEAN = r"(?U)[[\p{C}\s]&&[^\n ]]|  | \n|\n |\n\n\n|\A[ \n]|[ \n]\z"
+
+
 def normalize_stable(text: Column) -> Column:
-    """T1 in the JVM, for NFKC-stable texts."""
+    """T1 in the JVM, for NFKC-stable texts. One pass tells whether there is anything to clean; most texts need no more."""
     unified = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[\p{C}&&[^\n\f\t]]", "")
     page = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"(?U)[\s&&[^\n\f]]+", " "), " ?\n ?", "\n"), r"^[ \n]+|[ \n]+$", ""), r"\n{3,}", "\n\n")
     joined = F.array_join(F.transform(F.split(unified, "\f", -1), page), "\f")
-    return F.regexp_replace(joined, r"^[ \n\f]+|[ \n\f]+$", "")
+    return F.when(text.rlike(_UNCLEAN), F.regexp_replace(joined, r"^[ \n\f]+|[ \n\f]+$", "")).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s&&[^ ]]\s*| \s+", " "))  # single spaces stay untouched
 
 
 def blank_to_null(text: Column) -> Column:

@@ -43,6 +43,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+_KEPT: list[DataFrame] = []
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Kept in memory until the next query begins."""
+    _KEPT.append(df.persist())
+    return df
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("uid"), "text", "lang", F.col("source").alias("court"), F.expr(DATE).alias("judgment_date"),
@@ -73,7 +82,7 @@ def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The 50 best of both retrievers, kept: several parts of a plan read them (50 rows a query)."""
-    return _bm25(spark, d, 50).persist(), _dense(spark, d, 50).persist()
+    return _kept(_bm25(spark, d, 50)), _kept(_dense(spark, d, 50))
 
 
 def _fused(spark: SparkSession, d: str, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -92,7 +101,7 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
     hit = F.contains("text", F.left("query", F.lit(25)))
     met = _docs(spark, d).select("uid", "text").join(_queries(spark, d), hit)
     grade = F.when(F.contains("text", "query"), 3).when(F.contains("text", F.left("query", F.lit(60))), 2).otherwise(1)
-    return met.select("query_id", "uid", grade.alias("grade")).persist()
+    return _kept(met.select("query_id", "uid", grade.alias("grade")))
 
 
 def _systems(spark: SparkSession, d: str) -> DataFrame:
@@ -734,6 +743,22 @@ def fold_full_width(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.fold(wide)).alias("folded"))
 
 
+_FRAGMENT_SQL = "trim(left(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), 90))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_FRAGMENT_SQL} AS f FROM documents)
+SELECT doc_id, n::INT AS paragraph_number, page::INT AS page_number, trim(head || f) AS text
+FROM f, (VALUES (4, 1, 'opening line goes on '), (2, 1, 'a '), (6, 1, 'b '), (5, 2, 'c '), (7, 2, 'd '), (1, 2, 'e ')) AS p(n, page, head)""")
+def paragraph_rules(spark, d):
+    """Wrapped lines, markers of all kinds, a marker without text (discarded, its number stays taken), unnumbered paragraphs, pages."""
+    f = F.trim(F.left(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), F.lit(90)))
+    part = lambda head: F.concat(F.lit(head), f)
+    raw = F.concat(part("\f\nopening line\n goes  on "), part("\n[2] a "), F.lit("\n\n3.\n\n"), part("b\n"), part("\f(5) c\r\n"), part("\n\n d "), part("\n1) e "))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_hash"), raw.alias("raw_text"))
+    found = paragraphs.extract_paragraphs(docs)
+    return found.select(F.col("document_hash").cast("long").alias("doc_id"), "paragraph_number", "page_number", "text")
+
+
 def _twice(docs: DataFrame) -> DataFrame:
     """Every document twice, the second time with a longer text."""
     return docs.select("uid", "text").union(docs.select("uid", F.concat("text", F.lit(" zzz zzz"))))
@@ -812,6 +837,8 @@ def _shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
         shared_dir(spark)
+        while _KEPT:
+            _KEPT.pop().unpersist()
         return f(spark, sf_dir)
 
     return run

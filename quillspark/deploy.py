@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,12 +25,14 @@ def ship(spark: SparkSession) -> None:
     if not os.path.isdir(root):  # already runs from an archive
         return
     name = os.path.basename(root)
-    target = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}.zip")
+    folder = tempfile.mkdtemp(prefix="ship-")  # the driver serves it to the executors until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, f"{name}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, files in os.walk(root):
+        for at, _, files in os.walk(root):
             for f in files:
                 if f.endswith(".py"):
-                    full = os.path.join(folder, f)
+                    full = os.path.join(at, f)
                     z.write(full, os.path.join(name, os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(target)
 
@@ -62,6 +66,18 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+#: Tables of less aren't worth dealing out.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out where a table has fewer partitions than there are cores, as one file with one row group has. Tables of
+    many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size >= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -19,8 +19,8 @@ from functools import lru_cache
 import regex
 
 #: Units kept for good, and pieces kept in each of two generations of a cache.
-CACHE_UNITS = 300_000
-CACHE_PIECES = 200_000
+CACHE_UNITS = 250_000
+CACHE_PIECES = 150_000
 #: Longer units are encoded by the whole pipeline and not kept.
 LONG_UNIT = 64
 

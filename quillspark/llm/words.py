@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 
 #: Entries of a word cache before it is emptied; a bound on a worker's memory only.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 
 
 class WordHashes(dict):

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import paragraphs as P
 from quillspark.operators.records import normalize_records
 
 
-def prepared(lines: DataFrame, default_source: str | None = None, stable: bool = False) -> DataFrame:
+def prepared(lines: DataFrame, default_source: str | None = None, stable: bool = False, textless: Column | None = None) -> DataFrame:
     """Normalised records whose paragraphs can be stored: a record with a paragraph of a bad number fails as a whole. Lines that
-    their source calls a problem fail with it."""
-    rows = normalize_records(lines, default_source=default_source, stable=stable)
+    their source calls a problem fail with it. textless: lines that may lack text (`normalize_records`)."""
+    rows = normalize_records(lines, default_source=default_source, stable=stable, textless=textless)
     if "problem" in lines.columns:
         rows = rows.withColumn("reason", F.coalesce("problem", "reason"))
     bad = F.col("reason").isNull() & P.paragraphs_of(F.when(F.col("reason").isNull(), F.col("raw_text"))).isNull()

@@ -13,7 +13,8 @@
    sum of its terms' weighted coordinates, and nothing else. The driver holds vocabulary x rank numbers.
 4. Cosine candidates: an item is searched for as a whole, or in pieces of `PIECE` terms if it is longer; short pieces among
    short passages, longer ones among longer (`SCALES`). A search passage are two neighbouring blocks, so any stretch of a block
-   and a term stands in one. All pairs of at least `COSINE` are candidates, uncapped.
+   and a term stands in one. All pairs of at least `COSINE` are candidates, uncapped, but where the windows around the passage,
+   of 2 * `WINDOW` terms, hold too few of the item's terms for the checks to succeed (for longer items the document).
 5. Checks on the terms themselves, around the candidate passage: the longest common subsequence with the item, in a stretch
    not much longer than the item, must reach `LCS` of the item's terms; or `LCS_ANSWER`, if the item's answer (its last
    quarter, where a question's answer stands) is found to `ANSWER` too. So inserted, dropped and exchanged terms are
@@ -36,6 +37,7 @@ no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,12 @@ LEAST, VERBATIM = 8, 3
 SLICE = 96 * 1365
 #: Items of a block of cosines.
 _STEP = 4096
+#: Rows that are added up in a run.
+_RUN = 32
+#: Terms between the starts of two windows; each is two long, so it holds the surroundings of any candidate of a piece.
+WINDOW = 2 * BLOCK + 2 * PIECE
+#: Numbers of a matrix of terms and items, about.
+_CELLS = 1 << 22
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -119,7 +127,7 @@ def _encoded(docs: DataFrame, items: Items, id_column: str, text: str) -> DataFr
             out = []
             for t in texts(b, "t"):
                 found = terms(t)
-                out.append(np.fromiter((get(x, 0) for x in found), kind, len(found)).tobytes())
+                out.append(np.fromiter(map(get, found, repeat(0)), kind, len(found)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].cast("string").alias("t"))
@@ -149,10 +157,33 @@ def _pieces(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.n
         yield np.concatenate(blocks), np.concatenate(ids)
 
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a sorted array and the sums of their rows."""
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(values, first, axis=0)
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where the keys of a sorted array begin."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+
+
+def _sums(keys: np.ndarray, matrix: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a sorted array and the sums of their rows of a matrix. Keys are cut into runs of at most `_RUN`, which
+    are added up side by side, a row of each at a time."""
+    first = _firsts(keys)
+    names, counts = keys[first], np.diff(np.append(first, len(keys)))
+    cut = -(-counts // _RUN)
+    whole = int(cut.sum()) == len(cut)
+    if not whole:
+        nth = np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
+        names, counts = np.repeat(names, cut), np.minimum(np.repeat(counts, cut) - _RUN * nth, _RUN)
+        first = np.repeat(first, cut) + _RUN * nth
+    out = np.empty((len(first), matrix.shape[1]), matrix.dtype)
+    order = np.argsort(-counts, kind="stable")  # longest first: those that have a row left stand in front
+    for at in range(0, len(order), 2048):
+        own = order[at : at + 2048]
+        start, left = first[own], -counts[own]
+        added = matrix.take(rows[start], axis=0)
+        for k in range(1, -int(left[0])):
+            n = int(np.searchsorted(left, -k))
+            added[:n] += matrix.take(rows[start[:n] + k], axis=0)
+        out[own] = added
+    return (names, out) if whole else _sums(names, out, np.arange(len(out)))
 
 
 def _added(df: DataFrame, run, n_rows: int, width: int) -> np.ndarray:
@@ -182,9 +213,9 @@ def _document_frequency(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]
         n = np.zeros(size)
         for b in slices(batches, 256):
             for blocks, ids in _pieces(b, size):
-                key = np.unique(blocks.astype(np.int64) * size + ids)
-                n += np.bincount(key % size, minlength=size)
-                n[0] += len(np.unique(blocks))
+                key = np.sort((blocks * size + ids).astype(np.uint32 if (int(blocks[-1]) + 1) * size < 1 << 32 else np.uint64))
+                n += np.bincount((key[_firsts(key)] % size).astype(np.int64), minlength=size)
+                n[0] += len(_firsts(blocks))
         yield from _rows(n.reshape(-1, 1))
 
     n = _added(encoded, run, size, 1)[:, 0]
@@ -193,15 +224,14 @@ def _document_frequency(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]
 
 def _project(blocks: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Blocks that hold any term, and the sums of their terms' rows of `weights`."""
-    return _sums(blocks, weights[ids])
+    return _sums(blocks, weights, ids)
 
 
 def _applied(x: np.ndarray, blocks: np.ndarray, ids: np.ndarray, weights: np.ndarray, y: np.ndarray) -> None:
     """Adds A'(A W) of some blocks to y."""
-    held, sums = x
     order = np.argsort(ids, kind="stable")
-    at = np.searchsorted(held, blocks[order])
-    own, added = _sums(ids[order], sums[at])
+    nth = np.cumsum(np.append(False, blocks[1:] != blocks[:-1]))
+    own, added = _sums(ids[order], x[1], nth[order])
     y[own] += added
 
 
@@ -318,6 +348,55 @@ class Verbatim:
         return out
 
 
+class Possible:
+    """Which items a stretch can hold: those of which enough terms stand in it, wherever. In groups of items, each a matrix of
+    the times that an item has a term."""
+
+    def __init__(self, numbers: list[np.ndarray], need: np.ndarray, size: int):
+        self.groups, self.need, self.items, self.size = [], need, len(numbers), size
+        at = 0
+        while at < len(numbers):
+            own, to = set(numbers[at].tolist()), at + 1
+            while to < len(numbers) and (len(own) + len(numbers[to])) * (to + 1 - at) <= _CELLS:
+                own |= set(numbers[to].tolist())
+                to += 1
+            place = np.zeros(size, np.int32)
+            place[sorted(own)] = np.arange(1, len(own) + 1)
+            times = np.zeros((len(own) + 1, to - at), np.uint16 if max(map(len, numbers[at:to])) < 1 << 16 else np.uint32)
+            for k in range(at, to):
+                np.add.at(times[:, k - at], place[numbers[k]], 1)
+            self.groups.append((at, to, place, times))
+            at = to
+
+    def held(self, stretches: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+        """n x items, of the terms of n stretches."""
+        out = np.zeros((n, self.items), bool)
+        if not len(terms):
+            return out
+        key = stretches.astype(np.int64) * self.size + terms
+        key = np.sort(key.astype(np.uint32) if n * self.size < 1 << 32 else key)
+        key = key[_firsts(key)].astype(np.int64)
+        stretches, terms = key // self.size, key % self.size
+        for at, to, place, times in self.groups:
+            rows = place[terms]
+            own = np.flatnonzero(rows)
+            if len(own):
+                where, sums = _sums(stretches[own], times, rows[own])
+                out[where, at:to] = sums >= self.need[at:to]
+        return out
+
+    def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Windows x items, and the first window of each document."""
+        counts = [max(1, -(-len(d) // WINDOW)) for d in docs]
+        where = [np.flatnonzero(d) for d in docs]
+        terms = np.concatenate([d[w] for d, w in zip(docs, where, strict=True)])
+        nth = np.concatenate([w // WINDOW for w in where])
+        first = np.cumsum([0, *counts])
+        of = nth + np.repeat(first[:-1], [len(w) for w in where])
+        also = np.flatnonzero(nth)  # the second half of the window before
+        return self.held(np.append(of, of[also] - 1), np.append(terms, terms[also]), int(first[-1])), first
+
+
 class Searched:
     """The pieces of one scale: those of up to `longest` terms that no shorter scale has."""
 
@@ -326,31 +405,47 @@ class Searched:
         latent = np.stack([space[x].sum(axis=0) for _, x in pieces])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
-    def candidates(self, doc: np.ndarray, space: np.ndarray, cosine: float, may: np.ndarray | None = None) -> Iterator[tuple[int, int, int, float]]:
-        """(item, from, to, cosine) of the search passages of a document. may: the items that its terms allow."""
-        block, owner, latent = self.block, self.owner, self.latent
-        if may is not None:
-            owner, latent = owner[may[owner]], latent[may[owner]]
-            if not len(owner):
-                return
-        for at in range(0, len(doc), SLICE):
-            part = doc[at : at + SLICE + block]  # one block more: the next passage
-            where = np.flatnonzero(part)
-            if not len(where):
-                continue
-            own, sums = _project(where // block, part[where], space)
-            z = np.zeros((-(-len(part) // block), space.shape[1]), np.float32)
-            z[own] = sums
-            z = z[:-1] + z[1:] if len(z) > 1 else z
+    def candidates(
+        self, docs: list[np.ndarray], space: np.ndarray, cosine: float, lengths: np.ndarray, windows: np.ndarray, first: np.ndarray
+    ) -> Iterator[tuple[int, int, int, int, float]]:
+        """(place of the document, item, from, to, cosine) of the search passages of documents, with as many terms to either side
+        as the item has. windows: the items that each window allows; first: the first window of each document."""
+        block, owner = self.block, self.owner
+        sizes = np.array([len(d) for d in docs])
+        counts = np.maximum(1, -(-sizes // block))
+        base = np.cumsum(counts) - counts
+        where = [np.flatnonzero(d) for d in docs]
+        blocks = np.concatenate([w // block + b for w, b in zip(where, base, strict=True)])
+        terms = np.concatenate([d[w] for d, w in zip(docs, where, strict=True)])
+        doc = np.repeat(np.arange(len(docs)), counts)
+        nth = np.arange(len(doc)) - base[doc]
+        paired = nth + 1 < counts[doc]
+        near = first[doc] + nth * block // WINDOW
+        allows = windows[:, owner].any(axis=1)
+        wanted = np.flatnonzero((paired | (nth == 0)) & (allows[near] | allows[np.maximum(near - 1, first[doc])]))
+        for at in range(0, len(wanted), 4096):
+            own = wanted[at : at + 4096]
+            other = np.where(paired[own], own + 1, own)
+            needed = np.zeros(len(doc), bool)
+            needed[own] = needed[other] = True
+            kept = np.flatnonzero(needed[blocks])
+            held, sums = _project(blocks[kept], terms[kept], space)
+            place = np.full(len(doc), len(held))
+            place[held] = np.arange(len(held))
+            sums = np.append(sums, np.zeros((1, space.shape[1]), np.float32), axis=0)
+            z = sums[place[own]] + np.where(paired[own, None], sums[place[other]], np.float32(0))
             norm = np.linalg.norm(z, axis=1)
             full = np.flatnonzero(norm > 1e-9)
-            z = z[full] / norm[full, None]
-            for k in range(0, len(full), 1024):
-                for i in range(0, len(latent), _STEP):
-                    cos = z[k : k + 1024] @ latent[i : i + _STEP].T
-                    a, b = np.nonzero(cos >= cosine)
-                    low = at + full[k + a] * block
-                    yield from zip(owner[i + b].tolist(), low.tolist(), np.minimum(low + 2 * block, len(doc)).tolist(), cos[a, b].tolist(), strict=True)
+            own, z = own[full], z[full] / norm[full, None]
+            for i in range(0, len(owner), _STEP):
+                cos = z @ self.latent[i : i + _STEP].T
+                a, b = np.divmod(np.flatnonzero(cos >= cosine), cos.shape[1])
+                k, p = owner[i + b], own[a]
+                low = np.maximum(nth[p] * block - lengths[k], 0)
+                may = np.flatnonzero(windows[first[doc[p]] + low // WINDOW, k])
+                a, b, k, p, low = a[may], b[may], k[may], p[may], low[may]
+                high = np.minimum(np.minimum((nth[p] + 2) * block, sizes[doc[p]]) + lengths[k], sizes[doc[p]])
+                yield from zip(doc[p].tolist(), k.tolist(), low.tolist(), high.tolist(), cos[a, b].tolist(), strict=True)
 
 
 def scales(items: Items, space: np.ndarray) -> list[Searched]:
@@ -362,6 +457,20 @@ def scales(items: Items, space: np.ndarray) -> list[Searched]:
     return out
 
 
+def _bounded(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and numbers of the documents of a batch, about `SLICE` terms at once."""
+    ids, docs, held = [], [], 0
+    for i, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+        ids.append(i)
+        docs.append(_numbers(raw, size))
+        held += len(docs[-1])
+        if held >= SLICE:
+            yield ids, docs
+            ids, docs, held = [], [], 0
+    if docs:
+        yield ids, docs
+
+
 def _search(encoded: DataFrame, items: Items, space: np.ndarray, frequency: np.ndarray, cosine: float, cuts: tuple[float, float, float]) -> DataFrame:
     size, lcs_cut, lcs_answer, answer_cut = items.size, *cuts
     exact = Verbatim([*zip(items.ids, items.numbers, strict=True), *items.short], frequency)
@@ -372,18 +481,10 @@ def _search(encoded: DataFrame, items: Items, space: np.ndarray, frequency: np.n
         lengths = [len(x) for x in numbers]
         counts = [np.unique(x, return_counts=True) for x in numbers]
         tables = [None] * len(numbers)
-        every = np.concatenate([own for own, _ in counts] or [np.zeros(0, np.uint32)])
-        times = np.concatenate([n for _, n in counts] or [np.zeros(0, np.int64)])
-        first = np.cumsum([0, *(len(own) for own, _ in counts)])[:-1]
-        need = lcs_answer * np.array(lengths) - 1e-9
-
-        def possible(doc: np.ndarray) -> np.ndarray:
-            """The items of which the document holds enough terms anywhere."""
-            if not len(need):
-                return need.astype(bool)
-            have = np.zeros(size, bool)
-            have[doc] = True
-            return np.add.reduceat(have[every] * times, first) >= need
+        need = np.array([int(np.ceil(lcs_answer * n - 1e-9)) for n in lengths], np.int64)
+        possible = Possible(numbers, need, size)
+        longer = np.flatnonzero(np.array(lengths) > PIECE)  # their surroundings can exceed a window
+        sizes = np.array(lengths, np.int64)
 
         members = [frozenset(own.tolist()) for own, _ in counts]
         #: Distinct terms that must stand in a region: each that lacks costs the subsequence a term at least.
@@ -419,28 +520,40 @@ def _search(encoded: DataFrame, items: Items, space: np.ndarray, frequency: np.n
             answer = lcs_length(lcs_table(tail), len(tail), doc[at : to + 8].tolist()) / len(tail)
             return (share, answer) if share >= lcs_cut or answer >= answer_cut else None
 
-        def found(doc: np.ndarray) -> list[tuple[int, float, float, float]]:
+        def found(doc: np.ndarray, candidates: list[tuple[int, int, int, float]]) -> list[tuple[int, float, float, float]]:
             whole = exact.found(doc)
             best: dict[int, tuple[float, float, float]] = {}
             none = (0.0, 0.0, 0.0)
-            may = possible(doc)
-            if whole:
-                may &= ~np.isin(ids, list(whole))
             regions = Regions(doc)
-            for one in searched if may.any() else ():
-                for k, low, high, cos in one.candidates(doc, space, cosine, may):
-                    n = lengths[k]
-                    low, high = max(0, low - n), min(len(doc), high + n)
-                    if best.get(k, none)[0] < 1.0 and regions.holds(k, low, high):
-                        got = check(k, doc, low, high)
-                        if got:
-                            best[k] = max(best.get(k, none), (*got, cos))
+            for k, low, high, cos in candidates:
+                if ids[k] not in whole and best.get(k, none)[0] < 1.0 and regions.holds(k, low, high):
+                    got = check(k, doc, low, high)
+                    if got:
+                        best[k] = max(best.get(k, none), (*got, cos))
             return [(ids[k], cos, share, answer) for k, (share, answer, cos) in best.items()] + [(i, 1.0, 1.0, 1.0) for i in sorted(whole)]
 
+        def candidates(docs: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+            """(item, from, to, cosine), for each document."""
+            out = [[] for _ in docs]
+            if not searched:
+                return out
+            windows, first = possible.windows(docs)
+            if len(longer):
+                every = possible.held(np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs), len(docs))
+                windows[:, longer] = np.repeat(every[:, longer], np.diff(first), axis=0)
+            any_ = np.logical_or.reduceat(windows.any(axis=1), first[:-1])
+            own = np.flatnonzero(any_).tolist()
+            for one in searched if own else ():
+                for d, *x in one.candidates([docs[d] for d in own], space, cosine, sizes, windows, first[own]):
+                    out[own[d]].append(tuple(x))
+            return out
+
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         names = ["doc_id", "item_id", "cosine", "lcs", "answer"]
         for b in slices(batches, 256):
-            rows = [(i, *x) for i, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True) for x in found(_numbers(raw, size))]
+            rows = []
+            for part, docs in _bounded(b, size):
+                rows += [(i, *x) for i, doc, own in zip(part, docs, candidates(docs), strict=True) for x in found(doc, own)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 

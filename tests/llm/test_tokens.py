@@ -53,6 +53,36 @@ def test_other_kinds():
     assert np.frombuffer(enc.encode(["Some Words here"])[0], "<u4").tolist() == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("  \n\n abSzéÄ'.,!1<")), max_size=30), max_size=6))
+def test_line_feeds_and_punctuation(texts):
+    got = tokens.Encoder.encode(ENCODER, texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_words_reach_the_library_together(monkeypatch):
+    """Of texts of words never seen, only few calls go to the library; forgetting units changes nothing."""
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 3_000)
+    monkeypatch.setattr(tokens, "GROUP", 20_000)
+    enc, rng, calls = tokens.Encoder(PATH), random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefghijéüß") for _ in range(rng.randint(1, 12)))
+    texts = [" ".join(word() + rng.choice(["", "", ",", ".\nThe", "!?", "\n\nxy"]) for _ in range(800)) + "\n" * (k % 3) for k in range(12)]
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.of, name)
+
+    enc.tokenizer, enc.model = Counted(enc.tokenizer), Counted(enc.model)
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+        assert got == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 1_000 and enc.units.next <= 3_000 + 20_000
+
+
 # ---------------------------------------------------------------- packing
 
 def test_first_fit_decreasing():
